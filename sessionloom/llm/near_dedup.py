@@ -6,9 +6,9 @@ stops once its next arrival is later than every register's (early termination).
 Jaccard similarity of the sets. Registers are hashed in bands; documents that share a band are candidates.
 Candidates are verified on the exact Jaccard similarity of their shingle sets, `threshold` or more; classes are the connected components of the links.
 
-Verification goes in rounds and never lists the pairs within a bucket: a few leaders of each bucket meet its members, links join classes, and
-buckets whose members are all of one class are done; the next round takes twice as many leaders. Two documents that share a
-bucket end up compared or in one class, so no link is lost among candidates. Texts with the same words are one node from the start.
+Verification goes in rounds and doesn't list the pairs within a bucket: a few leaders of each bucket meet its members, links join classes, and
+buckets whose members are all of one class are done; the next round takes more leaders of those that are left. Two documents that share a
+bucket end up compared, in one class, or with too few shingles in common to link, so no link is lost among candidates. Texts with the same words are one node from the start.
 
 Null and blank texts have no shingle and are alone. Texts of 1 to 4 words are one shingle of these words. Repeated rows (equal doc_id
 and text): one is kept. Null doc_id: never chosen before another. Texts of any length are whole. Empty table: empty result. Other
@@ -29,6 +29,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a probability of about (1 - 0.8 ** ROWS) ** BANDS = 0.0001.
 BANDS, ROWS = 24, 5
+#: How many times more leaders a bucket has in the next round.
+GROWTH = 4
 #: Words of the documents that are hashed at once: bounds the memory of a task, but for a single longer text.
 CHUNK_WORDS = 1 << 20
 
@@ -182,26 +184,55 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.where(both >= threshold * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def _components(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
-    """node, label after all rounds, for members(key, node) of buckets with two nodes or more."""
-    state, labels, links, leaders = members.withColumn("label", F.col("node")), None, None, 1
+def _shared(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, r: how many of a node's shingles some node of another label has too. No overlap with another label exceeds it."""
+    owned = state.select("node", "label").distinct().join(sets, "node").select("node", "label", F.explode("set").alias("shingle"))
+    common = owned.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    return owned.join(common, "shingle").groupBy("node").agg(F.count("*").cast("int").alias("r"))
+
+
+def _can_link(r: Column, n: Column, r2: Column, n2: Column, threshold: float) -> Column:
+    """Whether sets of n and n2 shingles, of which r and r2 at most are common, can reach the threshold."""
+    most = F.least(r, r2)
+    return most >= threshold * (n + n2 - most)
+
+
+def _components(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """node, label after all rounds, for members(key, node) of buckets with two nodes or more.
+
+    Leaders come in the order of how crowded their buckets are, so that the centre of a group of copies goes first. What
+    is compared, besides: only nodes of different labels; only in the smallest bucket that both share; and only if the numbers of shingles
+    that each shares with other labels allow a link at all. These conditions drop no link.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("members"))
+    score = members.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("score"))
+    known = sets.select("node", F.size("set").alias("n")).join(score, "node").join(nodes.select("node", "bands"), "node")
+    state = members.join(known, "node").withColumns({"r": F.col("n"), "label": F.col("node")})
+    labels, links, leaders, turn = None, None, 1, 0
     while True:
-        open_keys = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        state = materialise(state.join(open_keys, "key"), "near-state")
+        open_keys = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
+        state = state.join(open_keys, "key").where(F.col("r") >= threshold * (F.col("n") + F.greatest(F.col("least") - F.col("r"), F.lit(0)))).drop("least")
+        state = materialise(state, "near-state")
         if state.isEmpty():
             return labels
-        order = Window.partitionBy("key").orderBy("node")
-        lead = materialise(state.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= leaders).select("key", F.col("node").alias("leader"), F.col("label").alias("leader_label")), "near-leaders")
-        met = state.join(lead, "key").where("label <> leader_label")
-        pairs = materialise(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
+        if turn in (1, 2):
+            state = materialise(state.drop("r").join(_shared(state, sets), "node").select(state.columns), "near-state")
+        order = Window.partitionBy("key").orderBy(F.desc("score"), "node")
+        lead = state.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= leaders)
+        lead = materialise(lead.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "r", "bands"))), "near-leaders")
+        able = (F.col("label") != F.col("label_2")) & _can_link(F.col("r"), F.col("n"), F.col("r_2"), F.col("n_2"), threshold)
+        first = F.array_min(F.array_intersect("bands", "bands_2")) == F.col("m.key")
+        met = state.alias("m").join(lead, (F.col("m.key") == lead["key"]) & able & first)
+        pairs = materialise(met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct(), "near-pairs")
         new = materialise(_links(pairs, sets, threshold), "near-links")
-        links = new if links is None else links.unionByName(new)
         # leaders have met every member of their bucket
-        rest = state.join(lead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        rest = state.join(lead.select("key", F.col("node_2").alias("node")), ["key", "node"], "left_anti")
         if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
             labels = classes_of(links)
-            rest = rest.drop("label").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        state, leaders = rest, leaders * 2
+            rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select(state.columns)
+        state, turn = rest.select(state.columns), turn + 1
+        leaders = leaders * GROWTH if turn > 1 else 1
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -226,7 +257,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     once = own.groupBy("node").agg(F.min("normal").alias("normal"))
     sets = materialise(once.select("node", _word_hashes(F.col("normal")).alias("words")).mapInArrow(_sets, "node long, set array<int>"), "near-sets")
 
-    labels = _components(members, sets, threshold)
+    labels = _components(members, nodes, sets, threshold)
     found = nodes.select("node", "digest", "first_id")
     found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # blank texts are alone
