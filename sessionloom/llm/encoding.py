@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew: bounds its memory.
-MAX_PIECES = 300_000
+MAX_PIECES = 600_000
 #: Longer pieces are encoded each time.
 MAX_PIECE_CHARS = 64
 
@@ -36,12 +36,25 @@ _ONLY_PLAIN = re.compile(f"[{_ranges(_PLAIN)}]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_ALPHABET = byte_alphabet()
+
+
 class _Pieces(dict):
+    """Ids of a pre-tokenized, normalised piece: they come from the library's model, which needs no further step for one."""
+
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))
+        ids = np.asarray([t.id for t in tokens], dtype="<u4").tobytes()
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self) >= MAX_PIECES:
                 self.clear()

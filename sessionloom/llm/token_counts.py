@@ -16,18 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .encoding import byte_alphabet
+
 #: Remembered pieces per worker, and the longest piece that is.
-MAX_PIECES = 300_000
+MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 64
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
 def count_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols left after merging: the lowest rank first, the leftmost of equals."""
     n = len(symbols)
