@@ -65,16 +65,14 @@ class DigestIndex:
         return self.spark.read.schema(ENTRY).parquet(self.entries_path)
 
     def verify(self, docs: DataFrame) -> DataFrame:
-        """digest, doc_id, text of rows that share a digest with the entry that stays but differ from its bytes.
+        """digest of the shared digests whose texts aren't the same bytes throughout.
 
-        A bitmap of fixed size over the shared digests keeps other texts out of the exchange.
+        The smallest and the largest text of a digest are equal only if all are; partial results per task make a group of any
+        size a row per task in the exchange. A bitmap of fixed size over the shared digests keeps other texts out.
         """
-        shared = self.entries().where("rows > 1")
-        texts = docs.select(digest_of(F.col("text")).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        texts = maybe_member(texts, "digest", membership(shared.select("digest"), "digest"))
-        kept = texts.alias("t").join(shared.alias("s"), (F.col("t.digest") == F.col("s.digest")) & F.col("t.doc_id").eqNullSafe(F.col("s.keep.doc_id")))
-        kept = kept.groupBy(F.col("t.digest").alias("digest")).agg(F.min("text").alias("kept_text"))
-        return texts.join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest", "doc_id", "text")
+        texts = docs.select(digest_of(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+        texts = maybe_member(texts, "digest", membership(self.entries().where("rows > 1").select("digest"), "digest"))
+        return texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
 
 
 def verdicts(docs: DataFrame, keep: str = "smallest", batches: list[DataFrame] | None = None) -> DataFrame:
@@ -95,7 +93,7 @@ def verdicts(docs: DataFrame, keep: str = "smallest", batches: list[DataFrame] |
 
 def _split_collisions(named: DataFrame, docs: DataFrame, wrong: DataFrame, keep: str) -> DataFrame:
     """Digests that stand for several texts (none is known): their rows are grouped by the texts themselves."""
-    bad = wrong.select(F.lower(F.hex("digest")).alias("text_sha256")).distinct()
+    bad = wrong.select(F.lower(F.hex("digest")).alias("text_sha256"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
     rows = materialise(rows.withColumn("text_sha256", F.sha2("text", 256)).join(bad, "text_sha256"), "digest-collided")
     groups = rows.withColumn("row", _row()).groupBy("text").agg(_best("row", keep).alias("keep"), F.count("*").alias("group_size"))
