@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, let, materialise, words_of
+from .common import SPACE, SPACES, materialise, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate of a host when more of its documents than this hold it.
@@ -22,21 +22,22 @@ MAX_DOCS = 20
 MIN_KEPT_TENTHS = 3
 
 
-def repeated_words(words: Column) -> Column:
-    """Words that lie in a 3-word window which the text holds twice or more."""
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """rows(words, ...) with n_repeat_words: words that lie in a 3-word window which the text holds twice or more.
 
-    def covered(starts: Column) -> Column:
-        # starts ascend: each window adds the words that the one before hasn't covered
-        step = lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last"))
-        return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step, lambda s: s["n"])
-
-    def counted(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        again = lambda a: F.transform(F.filter(a, lambda x, i: (x["h"] == F.get(a, i - 1)["h"]) | (x["h"] == F.get(a, i + 1)["h"])), lambda x: x["i"])
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, lambda a: covered(F.array_sort(again(a)))))
-
-    windows = let(words, lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
-    return let(windows, counted)
+    One step a projection, each read more than once by the next, so that the optimizer keeps them apart and none is nested deep.
+    """
+    hashed = F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
+    rows = rows.withColumn("windows", hashed)
+    # windows in the order of their hashes, for texts that repeat any
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = rows.withColumn("placed", F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, i: (x["h"] == F.get("placed", i - 1)["h"]) | (x["h"] == F.get("placed", i + 1)["h"])
+    rows = rows.withColumn("starts", F.array_sort(F.transform(F.filter("placed", same), lambda x: x["i"])))
+    # starts ascend: each window adds the words up to the next one's start, three at most
+    after = F.transform("starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - p, F.lit(3))))
+    rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(after, F.lit(0), lambda n, x: n + x), F.lit(0)).cast("long"))
+    return rows.drop("windows", "placed", "starts")
 
 
 def normalised(line: Column) -> Column:
@@ -46,25 +47,16 @@ def normalised(line: Column) -> Column:
 def features(docs: DataFrame, host: str) -> DataFrame:
     """One narrow row per document: base counts, and hash and words of every line that has a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("raw"), normalised(x).alias("line"))), lambda x: x["line"] != "")
-    counted = let(
-        lines,
-        lambda ls: F.struct(
-            (F.size(ls) - F.size(F.array_distinct(F.transform(ls, lambda x: x["raw"])))).alias("n_dup_lines"),
-            F.transform(ls, lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), (F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) + 1).alias("words"))).alias("lines"),
-        ),
-    )
-    by_word = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    return read.select(
-        F.monotonically_increasing_id().alias("rid"),
-        "doc_id",
-        "host",
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))
+    rows = rows.select(
+        "rid", "doc_id", "host", words_of(F.col("text")).alias("words"), F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        counted.alias("c"),
-        by_word.alias("b"),
-    ).select("rid", "doc_id", "host", F.col("b.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("c.n_dup_lines").cast("long").alias("n_dup_lines"), F.col("b.n_repeat_words").cast("long").alias("n_repeat_words"), F.col("c.lines").alias("lines"))
+        F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("raw"),
+    )
+    rows = with_repeated_words(rows).withColumn("n_words", F.size("words").cast("long")).drop("words")
+    rows = rows.withColumn("n_dup_lines", (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long")).withColumn("clean", F.transform("raw", normalised))
+    line = lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))
+    return rows.select("rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.transform("clean", line).alias("lines"))
 
 
 def line_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept_tenths: int = MIN_KEPT_TENTHS) -> DataFrame:
