@@ -3,7 +3,8 @@
 The n-grams (1 to 3 characters, word ends marked) of a language are ranked by frequency; so are those of a document. The distance
 to a language is the sum over the document's n-grams of how far they are out of place; the nearest language wins.
 
-The profiles are learned from a bounded sample: at most `max_docs` labelled documents of each language, those with the smallest hashes of doc_id.
+The profiles are learned from a bounded sample: about `max_docs` labelled documents of each language (all, where there are fewer), those
+with the smallest hashes of doc_id.
 Prediction reads every whole text, and no other column.
 
 Null text or text without a letter: `und`, score 0. Null lang: not learned from. Repeated rows are predicted alike. Ties between languages go to the
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents per language that are learned from, at most; and ranks in a profile.
+#: Labelled documents per language that are learned from, about, where there are more; and ranks in a profile.
 MAX_DOCS = 1500
 RANKS = 400
 UND = "und"
@@ -102,12 +103,12 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, ranks: int = RANKS) -> Prof
     """Profiles from docs(doc_id, text, lang): `ranks` n-grams for each language come to the driver, no more."""
     order = F.xxhash64(F.col("doc_id").cast("long"))
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text", order.alias("at"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    # the hash of each language's last document: one number a language comes to the driver, and the sample is a filter
-    last = labelled.select("lang", "at", place.alias("n")).where(F.col("n") <= max_docs).groupBy("lang").agg(F.max("at").alias("at")).collect()
-    if not last:
+    # one number a language comes to the driver: the hash below which about max_docs of its documents lie
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
         return Profiles({}, ranks)
-    limits = F.create_map(*[F.lit(x) for r in last for x in (r["lang"], r["at"])])
+    below = {lang: min((1 << 63) - 1, -(1 << 63) + (max_docs << 64) // n) for lang, n in sizes.items()}
+    limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
     texts = labelled.where(F.col("at") <= limits[F.col("lang")]).select("lang", "text")
     counts = texts.mapInArrow(lambda b: _partial(b, ranks), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
