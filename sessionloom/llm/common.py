@@ -38,9 +38,22 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.options(**options).parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of materialise(), in order, for release().
+written: list[str] = []
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what materialise() wrote after the first `since` tables, but for tables of the names in keep."""
+    for path in written[since:]:
+        if not path.rsplit("/", 1)[-1].rsplit("-", 1)[0] in keep:
+            remove(spark, path)
+    del written[since:]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row: a lambda variable can't be inlined again by the optimizer."""
     return F.transform(F.array(value), body)[0]
@@ -66,14 +79,35 @@ def membership(keys: DataFrame, digest: str, bits: int = FILTER_BITS) -> DataFra
     return keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
 
 
-def maybe_member(df: DataFrame, digest: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of df whose digest may be among those of the filter: false positives pass, members never go. A map-side step."""
+def with_membership(df: DataFrame, digest: str, bitmap: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """df with a boolean column: whether the row's digest may be among those of the filter. False positives occur, members are
+    never missed. A map-side step."""
     bit = _bit(F.col(digest), bits)
-    place = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return (
-        df.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": place})
-        .join(F.broadcast(bitmap), "_bucket")
-        .where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)
-        .drop("_bucket", "_at", "_bitmap")
-    )
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)})
+    return placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_at", "_bitmap")
+
+
+def maybe_member(df: DataFrame, digest: str, bitmap: DataFrame) -> DataFrame:
+    """Rows of df whose digest may be among those of the filter."""
+    return with_membership(df, digest, bitmap, "_maybe").where("_maybe").drop("_maybe")
+
+
+def keep_decided(marked: DataFrame, digest: str, decided: DataFrame) -> DataFrame:
+    """The rows of marked(doc_id, digest, ...) that stay, by decided(_doc, _digest, _stays): verdicts on every row whose digest is up
+    for a decision. Rows of other digests stay without an exchange: a bitmap of fixed size tells them. Of equal rows one stays.
+    """
+    asked = with_membership(marked, digest, membership(decided.select("_digest"), "_digest"), "_asked")
+    clear, unclear = asked.where(~F.col("_asked")).drop("_asked"), asked.where("_asked").drop("_asked")
+    same = (unclear[digest] == decided["_digest"]) & unclear["doc_id"].cast("long").eqNullSafe(decided["_doc"])
+    left = unclear.join(decided.where("_stays").select("_doc", "_digest"), same, "left_semi").dropDuplicates(["doc_id", digest])
+    # false positives of the bitmap: their digest was never asked about
+    other = unclear.join(decided.select("_digest").distinct(), unclear[digest] == F.col("_digest"), "left_anti")
+    return clear.unionByName(left).unionByName(other)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces that a worker remembers before it starts anew: bounds its memory.
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 #: Longer pieces are encoded each time.
 MAX_PIECE_CHARS = 64
 

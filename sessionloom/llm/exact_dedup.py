@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, maybe_member, membership
+from .common import fresh_path, keep_decided, materialise, maybe_member, membership, sha_hex
 
 RUN = "digest binary, doc_id long, rid long"
 ENTRY = "digest binary, keep struct<present:boolean,doc_id:long,rid:long>, rows long"
@@ -102,16 +102,10 @@ def _split_collisions(named: DataFrame, docs: DataFrame, wrong: DataFrame, keep:
 
 
 def deduplicate(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    left = verdicts(docs, keep).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"))
-    return only_rows(docs, left)
-
-
-def only_rows(docs: DataFrame, left: DataFrame) -> DataFrame:
-    """One row of docs for each (_doc, _sha) of left, which are distinct: other rows, and repeats of the same one, go."""
-    marked = docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    met = marked.join(left, (marked["_sha256"] == left["_sha"]) & marked["doc_id"].cast("long").eqNullSafe(left["_doc"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "_sha256"]).select(docs.columns)
+    """The rows of docs that stay, with all their columns. Only texts of shared digests move."""
+    shared = verdicts(docs, keep).where("group_size > 1")
+    decided = materialise(shared.select(F.col("doc_id").alias("_doc"), F.unhex("text_sha256").alias("_digest"), F.col("kept").alias("_stays")), "digest-decided")
+    return keep_decided(docs.withColumn("_sha256", F.unhex(sha_hex(F.col("text")))), "_sha256", decided).select(docs.columns)
 
 
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, SPACES, materialise, maybe_member, membership
+from . import common
+from .common import SPACE, SPACES, keep_decided, materialise, maybe_member, membership, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -237,6 +238,7 @@ def _components(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, kept, digest: a row per row of docs(doc_id, text). class_id: the smallest doc_id of the class."""
+    since = len(common.written)
     normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("normal"))
     hashed = normal.select("doc_id", F.unhex(F.sha2("normal", 256)).alias("digest"), _word_hashes(F.col("normal")).alias("words"))
     banded = hashed.mapInArrow(lambda b: _banded(b, bands, rows), "doc_id long, digest binary, bands array<long>")
@@ -264,6 +266,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     blank = F.unhex(F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"))
     placed = table.select("rid", "doc_id", "digest").join(found.select("digest", "label"), "digest")
     placed = materialise(placed.withColumn("label", F.when(F.col("digest") == blank, F.col("rid")).otherwise(F.col("label"))), "near-placed")
+    release(docs.sparkSession, since, keep=("near-placed",))
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
     groups = placed.groupBy("label").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
     return placed.join(groups, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "digest")
@@ -271,10 +274,9 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns."""
-    left = classify(docs, **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
-    marked = docs.withColumn("_own", F.unhex(F.sha2(normal_words(F.col("text")), 256)))
-    met = marked.join(left, (marked["_own"] == left["_digest"]) & marked["doc_id"].cast("long").eqNullSafe(left["_doc"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    several = classify(docs, **options).where("class_size > 1")
+    decided = materialise(several.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("kept").alias("_stays")), "near-decided")
+    return keep_decided(docs.withColumn("_own", F.unhex(F.sha2(normal_words(F.col("text")), 256))), "_own", decided).select(docs.columns)
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .encoding import byte_alphabet
 
 #: Remembered pieces per worker, and the longest piece that is.
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 MAX_PIECE_CHARS = 64
 
 
