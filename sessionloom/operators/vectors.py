@@ -41,7 +41,7 @@ class IvfIndex:
 
     def __init__(self, items: DataFrame, nlist: int, seed: int = 7, sample: int = 50_000) -> None:
         from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.functions import array_to_vector
 
         self.items, self.nlist = items.select("item_id", normalised(F.col("vec")).alias("vec")), nlist
         self.exact = len(items.limit(max(nlist, 39) + 1).select("item_id").collect()) <= max(nlist, 39)
@@ -54,7 +54,6 @@ class IvfIndex:
         spark = items.sparkSession
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
         self.centres = spark.createDataFrame(centres, "cell int, centre array<double>")
-        del vector_to_array
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """query_id, item_id, distance (squared), rank."""
@@ -83,8 +82,7 @@ def tower(weights: list[tuple[list[list[float]], list[float]]]):
 
     layers = [(np.asarray(w, float), np.asarray(b, float)) for w, b in weights]
 
-    @F.pandas_udf("array<double>")
-    def forward(vectors: pd.Series) -> pd.Series:
+    def forward(vectors):
         x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, layers[0][0].shape[1]))
         for i, (w, b) in enumerate(layers):
             x = x @ w.T + b
@@ -92,7 +90,8 @@ def tower(weights: list[tuple[list[list[float]], list[float]]]):
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return pd.Series(list(x / np.where(norm > 0, norm, 1)))
 
-    return forward
+    forward.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return F.pandas_udf(forward, "array<double>")
 
 
 def item2vec(events: DataFrame, dim: int = 32, seed: int = 7, partitions: int = 4) -> DataFrame:
