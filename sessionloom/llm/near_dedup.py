@@ -33,7 +33,7 @@ BANDS, ROWS = 24, 5
 #: How many times more leaders a bucket has in the next round.
 GROWTH = 4
 #: Words of the documents that are hashed at once: bounds the memory of a task, but for a single longer text.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
