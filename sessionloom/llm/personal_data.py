@@ -24,7 +24,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A token that may be an identifier: at least MIN_TOKEN characters of these, a digit or @ among them.
 TOKEN = r"(?<![A-Za-z0-9@._%+:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9@._%+:/-]{6,}+"
 #: Key-like strings are seeds beside the base entities.

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,11 @@ class _Pieces(dict):
     def __init__(self, ranks) -> None:
         self.ranks, self.alphabet = ranks, byte_alphabet()
 
+    def symbols(self, piece: str) -> list[str]:
+        return [self.alphabet[b] for b in piece.encode()]
+
     def __missing__(self, piece: str) -> int:
-        n = count_symbols([self.alphabet[b] for b in piece.encode()], self.ranks)
+        n = count_symbols(self.symbols(piece), self.ranks)
         if len(piece) <= MAX_PIECE_CHARS:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -63,17 +67,31 @@ class _Pieces(dict):
         return n
 
 
+class _Mapped(_Pieces):
+    """The same for pieces that are written in the byte-level alphabet already."""
+
+    def symbols(self, piece: str) -> list[str]:
+        return list(piece)
+
+
+#: Characters that every Unicode version since 5.2 classes alike. Other texts are cut by the library's own pre-tokenizer, whose version may differ.
+_SETTLED = re.compile("[\x00-\u0523\u2010-\u205e\u20a0-\u20b8\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f320\U0001f600-\U0001f64f]*")
+
+
 class TokenCounter:
     """count(text) for a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.pieces = _Pieces({(a, b): i for i, (a, b) in enumerate(merges)})
+        ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
+        self.pieces, self.mapped = _Pieces(ranks), _Mapped(ranks)
+        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -84,7 +102,9 @@ class TokenCounter:
         if self.special and self.special.search(text):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self.count, parts))
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        if _SETTLED.fullmatch(text):
+            return sum(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return sum(self.mapped[piece] for piece, _ in self.cut(text))
 
 
 _counters: dict[str, TokenCounter] = {}

@@ -47,6 +47,13 @@ def test_counts_equal_library(library):
         assert counter.count(text) == len(ids(library, BYTE, text)), text
 
 
+def test_counts_of_characters_that_unicode_versions_class_differently(library):
+    counter = token_counts.TokenCounter(BYTE)
+    for c in [*range(0x500, 0x600), 0x88F, 0xC5C, 0xCDC, *range(0x2080, 0x20D0), *range(0xA7C0, 0xA7E0), *range(0x1F8A0, 0x1F8B0), *range(0x32390, 0x323A0)]:
+        text = f"a{chr(c)}1 {chr(c)}{chr(c)}'s<|endoftext|>{chr(c)}"
+        assert counter.count(text) == len(ids(library, BYTE, text)), hex(c)
+
+
 def test_codes_round_trip_and_access():
     rng = np.random.default_rng(5)
     for n in (0, 1, 511, 512, 513, 5000):
