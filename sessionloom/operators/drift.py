@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import stats
 from ..sources.io import read_tabular, write_report
-from .running import running_sums
+from .running import quantiles, running_sums
 
 #: A column has drifted if p is below the first and PSI at least the second.
 MAX_P, MIN_PSI = 0.05, 0.1
@@ -42,8 +42,7 @@ def ks_statistics(rows: DataFrame) -> DataFrame:
 
 def psi_values(rows: DataFrame, bins: int = 10) -> DataFrame:
     """name, psi of rows(name, v, side): bins [a, b) between distinct quantiles of the reference, open at both ends. Fewer than two edges: 0."""
-    quantiles = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.where("side = 'ref'").groupBy("name").agg(F.array_distinct(F.percentile("v", quantiles)).alias("edges"))
+    edges = quantiles(rows.where("side = 'ref'"), ["name"], "v", [i / bins for i in range(bins + 1)]).select("name", F.array_distinct("quantiles").alias("edges"))
     inner = edges.select("name", F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"), F.size("edges").alias("n_edges"))
     binned = rows.join(inner, "name").select("name", "side", "n_edges", F.size("inner").alias("n_inner"), F.size(F.filter("inner", lambda e: e <= F.col("v"))).alias("bin"))
     side = lambda s: F.count(F.when(F.col("side") == s, 1))
@@ -91,5 +90,5 @@ def drift_report(spark, reference, current, path: str) -> dict:
 
 def halves(df: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
     """The lower and the upper half by a number, cut at its exact median."""
-    cut = df.agg(F.percentile(order, 0.5)).first()[0]
+    cut = quantiles(df.select(order.alias("_order")), [], "_order", [0.5]).first()[0][0]
     return df.where(order <= cut), df.where(order > cut)

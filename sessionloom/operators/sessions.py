@@ -6,6 +6,9 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .running import quantiles, running_sums
 
 TYPES = ("clicks", "carts", "orders")
 
@@ -20,7 +23,7 @@ def sessions_meta(events: DataFrame) -> DataFrame:
 
 def temporal_threshold(meta: DataFrame, ratio: float = 0.8) -> DataFrame:
     """One row, one exact quantile of the sessions' starts."""
-    return meta.agg(F.percentile("min_ts", ratio).alias("threshold"))
+    return quantiles(meta, [], "min_ts", [ratio]).select(F.col("quantiles")[0].alias("threshold"))
 
 
 def split_counts(meta: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -45,10 +48,18 @@ def temporal_split(rows: DataFrame, ratio: float, time: str, key: str) -> DataFr
         raise ValueError("ratio must lie between 0 and 1")
     if time not in rows.columns:
         raise KeyError(time)
-    per_time = rows.groupBy(time).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(time))
-    total = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_take"))
-    places = per_time.select(F.col(time).alias("_time"), (upto - F.col("_n")).alias("_before")).crossJoin(F.broadcast(total))
+    per_time = rows.groupBy(F.col(time).alias("_time")).agg(F.count("*").alias("_n"))
+    if isinstance(rows.schema[time].dataType, NumericType):
+        # null times come first
+        total = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_take"), (F.count("*") - F.count(time)).alias("_nulls"))
+        upto = running_sums(per_time.where("_time IS NOT NULL"), [], "_time", {"_n": "_upto"})
+        known = upto.crossJoin(F.broadcast(total)).select("_time", (F.col("_upto") - F.col("_n") + F.col("_nulls")).alias("_before"), "_take")
+        places = known.union(per_time.where("_time IS NULL").crossJoin(F.broadcast(total)).select("_time", F.lit(0), "_take"))
+    else:
+        # times that can't be cut into ranges (texts): their distinct values are ordered in one task
+        total = rows.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_take"))
+        before = F.sum("_n").over(Window.orderBy("_time")) - F.col("_n")
+        places = per_time.select("_time", before.alias("_before")).crossJoin(F.broadcast(total))
     own = F.row_number().over(Window.partitionBy(time).orderBy(key))
     placed = rows.join(places, rows[time].eqNullSafe(places["_time"]))
     return placed.withColumn("is_train", F.col("_before") + own <= F.col("_take")).drop("_time", "_before", "_take")

@@ -59,7 +59,7 @@ class IvfIndex:
         """query_id, item_id, distance (squared), rank."""
         q = queries.select("query_id", normalised(F.col("vec")).alias("q"))
         if self.exact:
-            met = self.items.crossJoin(F.broadcast(q))
+            met = q.crossJoin(F.broadcast(self.items))  # at most max(nlist, 39) vectors
         else:
             near = q.crossJoin(F.broadcast(self.centres)).withColumn("_d", -dot(F.col("q"), F.col("centre")) * 2 + dot(F.col("centre"), F.col("centre")))
             probes = near.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy("_d", "cell"))).where(F.col("_at") <= nprobe).select("query_id", "q", "cell")

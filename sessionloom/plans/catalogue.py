@@ -16,6 +16,7 @@ from ..operators import sessions as S
 from ..operators import vectors as E
 from ..operators.lexical import BM25, tokens
 from ..operators.ranking import Ranker
+from ..operators.running import quantiles
 from ..sources.adapters import basket_events, table, user_events
 from ..sources.io import fresh_path, materialise
 from ..sources.sessions import coded_events, read_sessions
@@ -423,7 +424,8 @@ def drift_detected(spark, sf_dir):
 
 @register("percentiles_latency", "SELECT {} FROM events".format(", ".join(f"round(quantile_cont(value, {p}), 6) AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99))))
 def percentiles_latency(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(*(F.round(F.percentile("value", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)))
+    shares = [0.5, 0.95, 0.99]
+    return quantiles(table(spark, sf_dir, "events"), [], "value", shares).select(*(F.round(F.col("quantiles")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(shares)))
 
 
 @register("metrics_unpivot", Q.query(*FULL, select="SELECT system || '.' || etype || '.' || replace(name, '@', '_at_') AS metric, round(value, 6) AS value FROM (UNPIVOT (SELECT system, etype, avg(recall_20) AS \"recall@20\", avg(ndcg_20) AS \"ndcg@20\" FROM sm GROUP BY 1, 2) ON \"recall@20\", \"ndcg@20\" INTO NAME name VALUE value)"))

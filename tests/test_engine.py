@@ -16,7 +16,7 @@ from sessionloom.operators import sessions as S
 from sessionloom.operators import vectors as E
 from sessionloom.operators.lexical import BM25
 from sessionloom.operators.ranking import expected, predict, tree_shap
-from sessionloom.operators.running import running_sums
+from sessionloom.operators.running import quantiles, running_sums
 from sessionloom.operators.serving import placeholder
 from sessionloom.sources.io import dense_codes, flat_metrics, read_tabular
 from sessionloom.sources.sessions import coded_events, detect_schema, read_sessions
@@ -195,6 +195,25 @@ def test_running_sums(spark):
         assert x.upto == sum(n for k, v, n in rows if k == x.k and v <= x.v)
 
 
+def test_quantiles(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice([None, r.randint(-50, 50), r.randint(0, 10_000)])) for k in "abc" for _ in range(r.choice([1, 2, 333]))] + [("one", 7)]
+    df, shares = spark.createDataFrame(rows, "k string, v long"), [0.0, 0.1, 0.5, 0.8, 1.0]
+    want = {x.k: x.q for x in df.where("v IS NOT NULL").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {x.k: x["quantiles"] for x in quantiles(df, ["k"], "v", shares).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert [x["quantiles"] for x in quantiles(df.where("v IS NULL"), [], "v", [0.5]).collect()] == [[None]]
+    assert quantiles(spark.createDataFrame([(1,), (2,), (4,), (9,)], "v long"), [], "v", [0.8]).first()[0] == [pytest.approx(6.0)]
+
+
+def test_temporal_split_with_null_times(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([None, 5, r.randint(0, 10**12)])) for i in range(101)]
+    first = {i for i, _ in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))[:70]}
+    got = S.temporal_split(spark.createDataFrame(rows, "id long, t long"), 0.7, "t", "id").collect()
+    assert len(got) == 101 and {x.id for x in got if x.is_train} == first
+
+
 def test_tree_shap_adds_up():
     leaf = lambda v, n: {"value": v, "n": n}
     tree = {"feature": 0, "threshold": 0.5, "n": 10, "left": {"feature": 1, "threshold": 2, "n": 6, "left": leaf(1.0, 2), "right": {"feature": 0, "threshold": 0.1, "n": 4, "left": leaf(3.0, 1), "right": leaf(4.0, 3)}}, "right": leaf(7.0, 4)}
