@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import materialise
 from .candidates import FEATURES
 
 #: Gains of the labels 0 to 3.
@@ -12,29 +13,44 @@ GAINS = (0, 1, 3, 7)
 
 
 class Ranker:
-    """Gradient-boosted trees on label gains (a pointwise stand-in for LambdaMART, which Spark has not)."""
+    """LambdaMART: boosted regression trees on the gradients of NDCG over a session's candidates.
 
-    def __init__(self, model) -> None:
-        self.model = model
+    A row per session holds its candidates, so the gradients of a round need no exchange; a session has at most as many as
+    the candidate steps let through (two hundred or so). A tree fitted on gradient / curvature with the curvature as the
+    weight has Newton steps as its leaves.
+    """
 
-    @classmethod
-    def fit(cls, frame: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 7) -> Ranker:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
-        gains = F.element_at(F.array(*map(F.lit, GAINS)), F.col("label") + 1).cast("double")
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame.withColumn("gain", gains))
-        return cls(GBTRegressor(featuresCol="features", labelCol="gain", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(rows.select("features", "gain")))
-
-    def trees(self) -> list[tuple[float, dict]]:
-        """(weight, root) of each tree; nodes as plain dicts."""
+    def __init__(self, trees: list[tuple[float, dict]]) -> None:
+        #: (weight, root) of each tree; nodes as plain dicts.
+        self.trees = trees
 
-        def node(j) -> dict:
-            if j.subtreeDepth() == 0:
-                return {"value": j.prediction(), "n": j.impurityStats().count()}
-            return {"feature": j.split().featureIndex(), "threshold": j.split().threshold(), "left": node(j.leftChild()), "right": node(j.rightChild()), "n": j.impurityStats().count()}
-
-        return [(float(w), node(t._call_java("rootNode"))) for w, t in zip(self.model.treeWeights, self.model.trees)]
+    @classmethod
+    def fit(cls, frame: DataFrame, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 7, valid: DataFrame | None = None, patience: int = 40, min_leaf: int = 1) -> Ranker:
+        """With valid rows, rounds end after `patience` without a better mean NDCG@20 there, and the best prefix stays."""
+        from pyspark.ml.functions import array_to_vector
+        from pyspark.ml.regression import DecisionTreeRegressor
+
+        groups = materialise(query_groups(frame).where(F.array_min("labels") < F.array_max("labels")), "ltr-groups")
+        if groups.isEmpty():
+            return cls([])  # nothing to tell apart
+        held = materialise(query_groups(valid), "ltr-valid") if valid is not None else None
+        learner = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="curvature", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
+        trees: list[tuple[float, dict]] = []
+        best, best_at = -1.0, 0
+        for _ in range(rounds):
+            rows = groups.mapInPandas(_steps(list(trees)), "x array<double>, target double, curvature double")
+            # a fit passes over its rows several times; lost blocks come again from the groups' table
+            rows = rows.select(array_to_vector("x").alias("features"), "target", "curvature").persist()
+            model = learner.fit(rows)
+            rows.unpersist()
+            trees.append((rate, _node(model._call_java("rootNode"))))
+            if held is not None:
+                ndcg = held.mapInPandas(_quality(list(trees)), "ndcg double").agg(F.avg("ndcg")).first()[0] or 0.0
+                if ndcg > best:
+                    best, best_at = ndcg, len(trees)
+                elif len(trees) - best_at >= patience:
+                    break
+        return cls(trees[:best_at] if held is not None else trees)
 
     def score_column(self) -> Column:
         """The whole model as one expression: scoring stays in generated code, with no vectors."""
@@ -44,20 +60,31 @@ class Ranker:
                 return F.lit(float(n["value"]))
             return F.when(F.col(FEATURES[n["feature"]]) <= n["threshold"], expr(n["left"])).otherwise(expr(n["right"]))
 
-        return sum((F.lit(w) * expr(root) for w, root in self.trees()), F.lit(0.0))
+        return sum((F.lit(w) * expr(root) for w, root in self.trees), F.lit(0.0))
 
     def score(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("score", self.score_column())
 
     def importance(self, spark) -> DataFrame:
-        return spark.createDataFrame([(f, float(self.model.featureImportances[i])) for i, f in enumerate(FEATURES)], "feature string, importance double")
+        """feature, importance: the total gain of its splits."""
+        gains = [0.0] * len(FEATURES)
+
+        def walk(n: dict) -> None:
+            if "value" not in n:
+                gains[n["feature"]] += n["gain"]
+                walk(n["left"])
+                walk(n["right"])
+
+        for _, root in self.trees:
+            walk(root)
+        return spark.createDataFrame(list(zip(FEATURES, gains)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
     def explain(self, frame: DataFrame) -> DataFrame:
         """session_code, item, base, score, contributions (a double per feature that add up to score - base)."""
         import numpy as np
         import pandas as pd
 
-        trees, features = self.trees(), FEATURES
+        trees, features = self.trees, FEATURES
 
         def explained(parts):
             for pdf in parts:
@@ -74,6 +101,97 @@ class Ranker:
         return frame.select("session_code", "item", *FEATURES).mapInPandas(explained, "session_code long, item string, base double, score double, contributions array<double>")
 
 
+def _node(j) -> dict:
+    n = float(j.impurityStats().rawCount())
+    if j.subtreeDepth() == 0:
+        return {"value": j.prediction(), "n": n}
+    split = j.split()
+    return {"feature": split.featureIndex(), "threshold": split.threshold(), "gain": j.gain() * j.impurityStats().count(), "left": _node(j.leftChild()), "right": _node(j.rightChild()), "n": n}
+
+
+def query_groups(frame: DataFrame) -> DataFrame:
+    """labels and rows of features: a row per session, its candidates in the order of their items."""
+    one = F.struct("item", F.col("label").cast("int").alias("label"), F.array(*(F.col(f).cast("double") for f in FEATURES)).alias("x"))
+    grouped = frame.groupBy("session_code").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return grouped.select(F.transform("c", lambda c: c["label"]).alias("labels"), F.transform("c", lambda c: c["x"]).alias("xs"))
+
+
+def tree_values(node: dict, x):
+    """The values of one tree for the rows of x."""
+    import numpy as np
+
+    if "value" in node:
+        return np.full(len(x), node["value"])
+    left = x[:, node["feature"]] <= node["threshold"]
+    out = np.empty(len(x))
+    out[left], out[~left] = tree_values(node["left"], x[left]), tree_values(node["right"], x[~left])
+    return out
+
+
+def lambdas(gains, scores):
+    """Gradient and curvature of each row of one session: every pair of unequal gains pulls by the change of NDCG that swapping it makes."""
+    import numpy as np
+
+    rank = np.empty(len(scores), np.int64)
+    rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
+    discount = 1 / np.log2(rank + 2.0)
+    ideal = (np.sort(gains)[::-1] / np.log2(np.arange(len(gains)) + 2.0)).sum()
+    gradient, curvature = np.zeros(len(scores)), np.zeros(len(scores))
+    if ideal <= 0:
+        return gradient, curvature
+    for i in np.flatnonzero(gains > gains.min()):
+        j = np.flatnonzero(gains < gains[i])
+        swap = (gains[i] - gains[j]) * np.abs(discount[i] - discount[j]) / ideal
+        rho = 1 / (1 + np.exp(np.clip(scores[i] - scores[j], -50, 50)))
+        pull, bend = rho * swap, rho * (1 - rho) * swap
+        gradient[i] += pull.sum()
+        gradient[j] -= pull
+        curvature[i] += bend.sum()
+        curvature[j] += bend
+    return gradient, curvature
+
+
+def ndcg(gains, scores, k: int = 20) -> float:
+    import numpy as np
+
+    discount = 1 / np.log2(np.arange(min(k, len(gains))) + 2.0)
+    ideal = (np.sort(gains)[::-1][:k] * discount).sum()
+    return float((gains[np.argsort(-scores, kind="stable")][:k] * discount).sum() / ideal) if ideal > 0 else 0.0
+
+
+def _scored(pdf, trees):
+    import numpy as np
+
+    table = np.asarray(GAINS, float)
+    for labels, xs in zip(pdf["labels"], pdf["xs"]):
+        x = np.stack(xs)
+        yield x, table[np.asarray(labels, int)], sum((w * tree_values(t, x) for w, t in trees), np.zeros(len(x)))
+
+
+def _steps(trees):
+    import numpy as np
+    import pandas as pd
+
+    def run(parts):
+        for pdf in parts:
+            for x, gains, scores in _scored(pdf, trees):
+                gradient, curvature = lambdas(gains, scores)
+                use = curvature > 0
+                yield pd.DataFrame({"x": list(x[use]), "target": gradient[use] / np.maximum(curvature[use], 1e-12), "curvature": curvature[use]})
+
+    return run
+
+
+def _quality(trees):
+    import pandas as pd
+
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"ndcg": [ndcg(gains, scores) for _, gains, scores in _scored(pdf, trees)]}, dtype="float64")
+
+    return run
+
+
 def predict(node: dict, x) -> float:
     while "value" not in node:
         node = node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import candidate_sources, covis_scores, feature_frame, popular_pool, rank_by_score
 from .experiments import hash_bucket
 from .ranking import Ranker
 from .sessions import history, sessions_meta
-from .vectors import IvfIndex
+from .vectors import IvfIndex, cosine_of_distance, pool_history
 
 
 class Recommender:
@@ -33,13 +33,8 @@ class Recommender:
     def search(self, events: DataFrame, vectors: DataFrame, k: int = 20, nprobe: int = 8) -> DataFrame:
         """query_id (session), item_id, score, rank: the mean of known history vectors against the index, history skipped; unknown histories give none."""
         hist = events.select("session_code", F.col("item").alias("item_id")).distinct()
-        known = hist.join(vectors, "item_id").select("session_code", F.posexplode("vec").alias("dim", "x")).groupBy("session_code", "dim").agg(F.avg("x").alias("x"))
-        pooled = known.groupBy(F.col("session_code").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
-        longest = hist.groupBy("session_code").count().agg(F.max("count")).first()[0] or 0
-        found = self.index.search(pooled, k + longest, nprobe)
-        fresh = found.join(hist.withColumnRenamed("session_code", "query_id"), ["query_id", "item_id"], "left_anti")
-        again = Window.partitionBy("query_id").orderBy("rank")
-        return fresh.select("query_id", "item_id", F.round(1 - F.col("distance") / 2, 6).alias("score"), F.row_number().over(again).alias("rank")).where(F.col("rank") <= k)
+        found = self.index.search(pool_history(hist, vectors), k, nprobe, skip=hist.withColumnRenamed("session_code", "query_id"))
+        return found.select("query_id", "item_id", F.round(cosine_of_distance(F.col("distance")), 6).alias("score"), "rank")
 
     def explain(self, events: DataFrame, items: DataFrame) -> DataFrame:
         """Contributions for (session_code, item) pairs of items; items that no event names give no row."""

@@ -82,6 +82,12 @@ def with_history(events: DataFrame, meta: DataFrame) -> DataFrame:
     return events.join(cut, "session_code").withColumn("is_hist", F.when(F.col("pos") < F.col("_cut"), 1).otherwise(0)).drop("_cut")
 
 
+def next_item_queries(events: DataFrame, meta: DataFrame) -> DataFrame:
+    """Events of the sessions of meta with is_hist (the first 70 % of the events, rounded down, at least 1) and is_target (the event after them)."""
+    cut = meta.select("session_code", F.greatest(F.lit(1), F.floor(F.col("n_events") * F.lit(0.7))).alias("_cut"))
+    return events.join(cut, "session_code").withColumns({"is_hist": F.col("pos") <= F.col("_cut"), "is_target": F.col("pos") == F.col("_cut") + 1}).drop("_cut")
+
+
 def graded(etype: Column) -> Column:
     return F.when(etype == "clicks", 1).when(etype == "carts", 2).when(etype == "orders", 3)
 

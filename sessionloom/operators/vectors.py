@@ -20,15 +20,29 @@ def cosine_of_distance(squared: Column) -> Column:
     return 1 - squared / 2
 
 
-def exact_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+#: Queries that are broadcast at once: 32 MB at 1,024 dimensions.
+BLOCK = 4096
+
+
+def exact_topk(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query_id, item_id, score, rank by cosine for a stated query set(query_id, vec) against all items(item_id, vec).
 
-    The queries are what is broadcast, so keep them a bounded set; every task keeps its own best k before the exchange.
+    Queries are counted and broadcast in blocks of about `block`, one pass over the items each; every task keeps its own best
+    k before the exchange.
     """
     q = queries.select("query_id", normalised(F.col("vec")).alias("q"))
-    scored = items.select("item_id", normalised(F.col("vec")).alias("v")).crossJoin(F.broadcast(q)).select("query_id", "item_id", dot(F.col("q"), F.col("v")).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    unit = items.select("item_id", normalised(F.col("vec")).alias("v"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def search(part: DataFrame) -> DataFrame:
+        scored = unit.crossJoin(F.broadcast(part)).select("query_id", "item_id", dot(F.col("q"), F.col("v")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    found = search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == 0) if blocks > 1 else q)
+    for b in range(1, blocks):
+        found = found.unionByName(search(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)))
+    return found
 
 
 def mean_pool(rows: DataFrame, group: str) -> DataFrame:
@@ -55,8 +69,8 @@ class IvfIndex:
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
         self.centres = spark.createDataFrame(centres, "cell int, centre array<double>")
 
-    def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        """query_id, item_id, distance (squared), rank."""
+    def search(self, queries: DataFrame, k: int, nprobe: int, skip: DataFrame | None = None) -> DataFrame:
+        """query_id, item_id, distance (squared), rank. Pairs of skip(query_id, item_id) are left out before the cut."""
         q = queries.select("query_id", normalised(F.col("vec")).alias("q"))
         if self.exact:
             met = q.crossJoin(F.broadcast(self.items))  # at most max(nlist, 39) vectors
@@ -65,6 +79,8 @@ class IvfIndex:
             probes = near.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy("_d", "cell"))).where(F.col("_at") <= nprobe).select("query_id", "q", "cell")
             met = self.cells.join(probes, "cell")
         scored = met.select("query_id", "item_id", (2 - 2 * dot(F.col("q"), F.col("vec"))).alias("distance"))
+        if skip is not None:
+            scored = scored.join(skip.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
         best = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "item_id")
         return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -75,6 +91,19 @@ def recall_against(found: DataFrame, exact: DataFrame) -> DataFrame:
     return met.agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def pool_history(hist: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, vec: the mean of the vectors of each session's items in hist(session_code, item_id). Sessions without a known item give none."""
+    known = hist.join(vectors, "item_id").select("session_code", F.posexplode("vec").alias("dim", "x")).groupBy("session_code", "dim").agg(F.avg("x").alias("x"))
+    return known.groupBy(F.col("session_code").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+
+
+def next_item_hits(found: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
+    """One row: n_queries and hit_k, the share of targets(query_id, target) that stand among the first k found. Queries without results miss."""
+    met = found.select("query_id", F.col("item_id").alias("target"), "rank")
+    rows = targets.join(met, ["query_id", "target"], "left")
+    return rows.agg(F.count("*").alias("n_queries"), *(F.coalesce(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"hit_{k}") for k in ks))
+
+
 def tower(weights: list[tuple[list[list[float]], list[float]]]):
     """A pandas UDF for the session tower: linear layers with ReLU between them, then length 1."""
     import numpy as np

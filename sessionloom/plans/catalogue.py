@@ -19,7 +19,7 @@ from ..operators.ranking import Ranker
 from ..operators.running import quantiles
 from ..sources.adapters import basket_events, table, user_events
 from ..sources.io import fresh_path, materialise
-from ..sources.sessions import coded_events, read_sessions
+from ..sources.sessions import coded_events, read_sessions, synthetic_sessions
 from . import sql as Q
 
 SAMPLE, TYPES, SYSTEMS = 100, S.TYPES, ("popularity", "covisitation")
@@ -520,6 +520,44 @@ def item2vec_neighbours(spark, sf_dir):
     return E.exact_topk(vectors.where("cast(item_id AS int) % 50 = 0").withColumnRenamed("item_id", "query_id"), vectors, 10)
 
 
+NEXT = "nx AS (SELECT m.session_code, greatest(1, floor(m.n_events * 0.7::DOUBLE)::BIGINT) AS n_history FROM meta m, thr WHERE min_ts >= floor(threshold) AND n_events >= 4)"
+
+
+def _next_item(log: Log) -> DataFrame:
+    return S.next_item_queries(log.events, S.side_of(log.meta, "valid").where("n_events >= 4"))
+
+
+@register("ann_val_queries", Q.query(*BASE, NEXT, select="SELECT nx.session_code, n_history, item AS target FROM nx JOIN ev ON ev.session_code = nx.session_code AND ev.pos = n_history + 1"))
+def ann_val_queries(spark, sf_dir):
+    rows = _next_item(Log(spark, sf_dir)).where("is_target")
+    return rows.select("session_code", (F.col("pos") - 1).cast("long").alias("n_history"), F.col("item").alias("target"))
+
+
+@register("ann_next_item_hits")
+def ann_next_item_hits(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    rows, vectors = _next_item(log), materialise(E.item2vec(log.events), "item2vec")
+    hist = rows.where("is_hist").select("session_code", F.col("item").alias("item_id"))
+    queries = materialise(E.pool_history(hist, vectors), "history-vectors")
+    targets = rows.where("is_target").select(F.col("session_code").alias("query_id"), F.col("item").alias("target"))
+    systems = {"ann": E.IvfIndex(vectors, nlist=8).search(queries, 100, nprobe=4), "exact": E.exact_topk(queries, vectors, 100)}
+    ann, exact = (E.next_item_hits(found, targets).select(F.lit(name).alias("system"), "*") for name, found in systems.items())
+    return ann.unionByName(exact)
+
+
+@register("dense_search")
+def dense_search(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    vectors = materialise(E.item2vec(log.events), "item2vec")
+    shop = V.Recommender(log.pop, log.neighbours, index=E.IvfIndex(vectors, nlist=8))
+    return shop.search(log.marked.where("is_hist = 1"), vectors, 20, nprobe=4)
+
+
+@register("synthetic_sessions")
+def synthetic(spark, sf_dir):
+    return coded_events(synthetic_sessions(spark, sessions=5000, items=500))
+
+
 # -- ranking
 
 

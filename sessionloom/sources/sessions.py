@@ -45,3 +45,19 @@ def coded_events(raw: DataFrame) -> DataFrame:
     keyed = dense_codes(raw.where(size > 0).withColumn("_first_ts", F.coalesce(first, F.lit(0))), ["_first_ts", "session"], "session_code")
     codes = keyed.select("session", "session_code")
     return explode_sessions(keyed).join(codes, "session").select("session_code", "pos", "item", "ts", "etype")
+
+
+def synthetic_sessions(spark: SparkSession, sessions: int, items: int, seed: int = 7) -> DataFrame:
+    """session, ts, prev_items, type: made-up logs. Lengths are exponential (mean 4.5) within 1 and 60, items fall as rank ** -0.9
+    (by the inverse of the continuous distribution), types are 8:1:1, and times rise. The same rows for a seed, however they are spread."""
+
+    def uniform(*parts):
+        return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    length = F.least(F.greatest(F.floor(-4.5 * F.log(uniform(F.lit("n"), "id"))), F.lit(1)), F.lit(60)).cast("int")
+    steps = spark.range(sessions).select("id", F.sequence(F.lit(1), length).alias("at"))
+    item = lambda p: F.least(F.floor(F.pow(1 + uniform(F.lit("i"), "id", p) * (float(items + 1) ** 0.1 - 1), F.lit(10.0))), F.lit(items)).cast("string")
+    kind = lambda p: F.when(uniform(F.lit("t"), "id", p) < 0.8, "clicks").when(uniform(F.lit("t"), "id", p) < 0.9, "carts").otherwise("orders")
+    start = F.lit(1_660_000_000_000) + F.floor(uniform(F.lit("s"), "id") * 28 * 86_400_000)
+    gap = lambda p: (p - 1) * 60_000 + F.floor(uniform(F.lit("g"), "id", p) * 60_000)
+    return steps.select(F.col("id").cast("string").alias("session"), F.transform("at", lambda p: (start + gap(p)).cast("long")).alias("ts"), F.transform("at", item).alias("prev_items"), F.transform("at", kind).alias("type"))

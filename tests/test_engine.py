@@ -15,11 +15,11 @@ from sessionloom.operators import metrics as M
 from sessionloom.operators import sessions as S
 from sessionloom.operators import vectors as E
 from sessionloom.operators.lexical import BM25
-from sessionloom.operators.ranking import expected, predict, tree_shap
+from sessionloom.operators.ranking import Ranker, expected, lambdas, ndcg, predict, tree_shap
 from sessionloom.operators.running import quantiles, running_sums
 from sessionloom.operators.serving import placeholder
 from sessionloom.sources.io import dense_codes, flat_metrics, read_tabular
-from sessionloom.sources.sessions import coded_events, detect_schema, read_sessions
+from sessionloom.sources.sessions import coded_events, detect_schema, read_sessions, synthetic_sessions
 from sessionloom.streaming.popularity import windowed_popularity
 
 EVENTS = "session_code long, pos int, item string, ts long, etype string"
@@ -221,6 +221,77 @@ def test_tree_shap_adds_up():
         assert tree_shap(tree, x, 2).sum() == pytest.approx(predict(tree, x) - expected(tree))
 
 
+def test_lambdas_against_pairs():
+    import numpy as np
+
+    gains, scores = np.array([0.0, 3, 1, 0, 7]), np.array([0.4, 0.1, -0.2, 0.4, 0.0])
+    order = sorted(range(5), key=lambda i: -scores[i])
+    d = [1 / math.log2(order.index(i) + 2) for i in range(5)]
+    ideal = sum(g / math.log2(r + 2) for r, g in enumerate(sorted(gains, reverse=True)))
+    grad, bend = [0.0] * 5, [0.0] * 5
+    for i in range(5):
+        for j in range(5):
+            if gains[i] > gains[j]:
+                rho = 1 / (1 + math.exp(scores[i] - scores[j]))
+                swap = (gains[i] - gains[j]) * abs(d[i] - d[j]) / ideal
+                grad[i], grad[j] = grad[i] + rho * swap, grad[j] - rho * swap
+                bend[i], bend[j] = bend[i] + rho * (1 - rho) * swap, bend[j] + rho * (1 - rho) * swap
+    got = lambdas(gains, scores)
+    assert got[0] == pytest.approx(grad) and got[1] == pytest.approx(bend)
+    assert not lambdas(np.zeros(3), np.arange(3.0))[0].any()  # nothing to tell apart
+    assert ndcg(gains, gains) == 1.0 and ndcg(np.zeros(2), np.zeros(2)) == 0.0
+
+
+def test_lambdamart_learns_an_order(spark):
+    rng = random.Random(3)
+    rows = []
+    for s in range(40):
+        for i in range(12):
+            x = rng.random()
+            label = 3 if x > 0.9 else 1 if x > 0.7 else 0
+            rows.append((s, f"i{i}", label, *(x if f == "covis_score" else 0.0 for f in C.FEATURES)))
+    frame = spark.createDataFrame(rows, "session_code long, item string, label int, " + ", ".join(f"{f} double" for f in C.FEATURES))
+    model = Ranker.fit(frame.where("session_code % 10 > 0"), rounds=6, rate=0.5, valid=frame.where("session_code % 10 = 0"), patience=2)
+    assert 0 < len(model.trees) <= 6
+    assert model.importance(spark).first().feature == "covis_score"
+    scored = model.score(frame).select("label", "score").collect()
+    mean = lambda v: sum(r.score for r in scored if r.label == v) / max(1, sum(r.label == v for r in scored))
+    assert mean(0) < mean(1) < mean(3)
+    explained = model.explain(frame.where("session_code = 1")).collect()
+    assert all(sum(r.contributions) == pytest.approx(r.score - r.base) for r in explained)
+    assert Ranker.fit(frame.where("label = 0"), rounds=1).trees == []
+
+
+def test_exact_search_in_blocks(spark):
+    items = spark.createDataFrame([(i, [math.cos(i * 0.7), math.sin(i * 0.7), i % 3 * 0.2]) for i in range(40)], "item_id long, vec array<double>")
+    q = items.withColumnRenamed("item_id", "query_id")
+    whole = {tuple(r) for r in E.exact_topk(q, items, 4).select("query_id", "item_id", "rank").collect()}
+    assert whole == {tuple(r) for r in E.exact_topk(q, items, 4, block=7).select("query_id", "item_id", "rank").collect()} and len(whole) == 160
+    skip = q.select("query_id", F.col("query_id").alias("item_id"))
+    rest = E.IvfIndex(items, nlist=64).search(q, 3, 1, skip=skip).collect()
+    assert len(rest) == 120 and all(r.query_id != r.item_id for r in rest)
+
+
+def test_next_item_queries_and_hits(spark):
+    e = spark.createDataFrame([(1, p, f"i{p}", p, "clicks") for p in range(1, 6)] + [(2, p, f"j{p}", p, "clicks") for p in range(1, 5)], EVENTS)
+    rows = S.next_item_queries(e, S.sessions_meta(e)).collect()
+    assert {(r.session_code, r.item) for r in rows if r.is_target} == {(1, "i4"), (2, "j3")}  # 3 of 5, 2 of 4
+    targets = spark.createDataFrame([(1, "i4"), (2, "j3")], "query_id long, target string")
+    found = spark.createDataFrame([(1, "i4", 11), (1, "x", 1)], "query_id long, item_id string, rank int")
+    r = E.next_item_hits(found, targets).first()
+    assert (r.n_queries, r.hit_10, r.hit_50) == (2, 0.0, 0.5)
+
+
+def test_synthetic_sessions(spark):
+    raw = synthetic_sessions(spark, 400, 50)
+    rows = raw.collect()
+    assert rows == synthetic_sessions(spark, 400, 50).repartition(3).orderBy(F.col("session").cast("int")).collect()
+    assert all(1 <= len(r.ts) <= 60 and r.ts == sorted(r.ts) and len(r.ts) == len(r.prev_items) == len(r.type) for r in rows)
+    assert all(1 <= int(i) <= 50 for r in rows for i in r.prev_items)
+    clicks = [t == "clicks" for r in rows for t in r.type]
+    assert 0.74 < sum(clicks) / len(clicks) < 0.86
+
+
 def test_placeholder_and_flat_metrics(spark):
     rows = placeholder(spark.createDataFrame([("s",)], "seed string"), "seed", 5).collect()
     assert len(rows) == 5 and rows[0].score == 1.0 and all(r.item.startswith("item_") for r in rows)
