@@ -41,14 +41,15 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 class Log:
-    """An event table and what queries derive from it."""
+    """An event table and what queries derive from it. whole: every session of the side, not the sample that the SQL states."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, side: str = "valid", events=user_events) -> None:
-        self.spark, self.sf_dir, self.side, self.source = spark, sf_dir, side, events
+    def __init__(self, spark: SparkSession, sf_dir: str, side: str = "valid", events=user_events, whole: bool = False) -> None:
+        self.spark, self.sf_dir, self.side, self.source, self.whole = spark, sf_dir, side, events, whole
 
     events = cached_property(lambda self: self.source(self.spark, self.sf_dir))
     meta = cached_property(lambda self: S.sessions_meta(self.events))
-    sample = cached_property(lambda self: S.sample_sessions(S.side_of(self.meta, self.side).where("n_events >= 2"), SAMPLE))
+    chosen = cached_property(lambda self: S.side_of(self.meta, self.side).where("n_events >= 2"))
+    sample = cached_property(lambda self: self.chosen if self.whole else S.sample_sessions(self.chosen, SAMPLE))
     marked = cached_property(lambda self: S.with_history(self.events, self.sample))
     hist = cached_property(lambda self: S.history(self.marked))
     truth = cached_property(lambda self: S.ground_truth(self.marked))
@@ -292,8 +293,8 @@ ARMS = "ar AS (SELECT session_code, n_events::DOUBLE AS x, CASE WHEN b < 500 THE
 AGG = "ag AS (SELECT count(y) FILTER (arm = 'control') AS n_c, sum(y) FILTER (arm = 'control') AS s_c, avg(y) FILTER (arm = 'control') AS m_c, var_samp(y) FILTER (arm = 'control') AS v_c, count(y) FILTER (arm = 'treatment') AS n_t, sum(y) FILTER (arm = 'treatment') AS s_t, avg(y) FILTER (arm = 'treatment') AS m_t, var_samp(y) FILTER (arm = 'treatment') AS v_t FROM ar)"
 
 
-def outcomes(spark, sf_dir) -> DataFrame:
-    log = Log(spark, sf_dir)
+def outcomes(spark, sf_dir, whole: bool = False) -> DataFrame:
+    log = Log(spark, sf_dir, whole=whole)
     return M.session_outcomes(log.metrics, log.sample, list(SYSTEMS))
 
 
@@ -367,7 +368,7 @@ def ab_test_values(spark, sf_dir):
 
 @register("ab_replay")
 def ab_replay(spark, sf_dir):
-    r = X.ab_replay(materialise(outcomes(spark, sf_dir), "outcomes"), "hit20_popularity_clicks", "hit20_covisitation_clicks")
+    r = X.ab_replay(materialise(outcomes(spark, sf_dir, whole=True), "outcomes"), "hit20_popularity_clicks", "hit20_covisitation_clicks")
     return spark.createDataFrame([(r["decision"], r["effect"]["lift"], float(r["effect"]["raw_p"]), float(r["effect"]["cuped_p"]))], "decision string, lift double, raw_p double, cuped_p double")
 
 
@@ -547,7 +548,7 @@ def ann_next_item_hits(spark, sf_dir):
 
 @register("dense_search")
 def dense_search(spark, sf_dir):
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir, whole=True)
     vectors = materialise(E.item2vec(log.events), "item2vec")
     shop = V.Recommender(log.pop, log.neighbours, index=E.IvfIndex(vectors, nlist=8))
     return shop.search(log.marked.where("is_hist = 1"), vectors, 20, nprobe=4)
@@ -562,12 +563,12 @@ def synthetic(spark, sf_dir):
 
 
 def _ranker(spark, sf_dir) -> Ranker:
-    return Ranker.fit(materialise(Log(spark, sf_dir, "train").frame(True), "frame"))
+    return Ranker.fit(materialise(Log(spark, sf_dir, "train", whole=True).frame(True), "frame"))
 
 
 @register("two_stage_rank")
 def two_stage_rank(spark, sf_dir):
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir, whole=True)
     return C.rank_by_score(_ranker(spark, sf_dir).score(log.frame(False)), "score", log.hist)
 
 
@@ -578,13 +579,13 @@ def ltr_importance(spark, sf_dir):
 
 @register("explain_rows")
 def explain_rows(spark, sf_dir):
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir, whole=True)
     return _ranker(spark, sf_dir).explain(log.frame(False).where("in_history = 1"))
 
 
 @register("recommend_sessions")
 def recommend_sessions(spark, sf_dir):
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir, whole=True)
     return V.Recommender(log.pop, log.neighbours).recommend(log.marked.where("is_hist = 1").drop("is_hist"))
 
 

@@ -305,6 +305,23 @@ def test_windowed_popularity(spark):
     assert len(got) == 7 and all(r.total == 1 for r in got)
 
 
+def test_queries_without_sql_take_every_session(spark, monkeypatch):
+    from sessionloom.plans import catalogue as Q
+
+    monkeypatch.setattr(Q, "SAMPLE", 3)
+    path = "/root/testdata/sf0.01"
+    sides = {side: S.side_of(Q.Log(spark, path).meta, side).where("n_events >= 2").count() for side in ("valid", "train")}
+    assert min(sides.values()) > 3
+    assert Q.QUERIES["recommend_sessions"](spark, path).select("session_code").distinct().count() == sides["valid"]
+    assert Q.QUERIES["dense_search"](spark, path).select("query_id").distinct().count() == sides["valid"]
+    assert Q.outcomes(spark, path, whole=True).count() == sides["valid"]
+    frames = []
+    monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: frames.append(frame) or cls([])))
+    assert Q.QUERIES["two_stage_rank"](spark, path).select("session_code").distinct().count() == sides["valid"]
+    assert frames[0].select("session_code").distinct().count() == sides["train"]
+    assert Q.Log(spark, path).sample.count() == 3  # the queries with SQL keep the sample that it states
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
