@@ -580,7 +580,7 @@ def ltr_importance(spark, sf_dir):
 @register("explain_rows")
 def explain_rows(spark, sf_dir):
     log = Log(spark, sf_dir, whole=True)
-    return _ranker(spark, sf_dir).explain(log.frame(False).where("in_history = 1"))
+    return _ranker(spark, sf_dir).explain(log.frame(False))
 
 
 @register("recommend_sessions")

@@ -322,6 +322,18 @@ def test_queries_without_sql_take_every_session(spark, monkeypatch):
     assert Q.Log(spark, path).sample.count() == 3  # the queries with SQL keep the sample that it states
 
 
+def test_every_candidate_is_explained(spark, monkeypatch):
+    from sessionloom.plans import catalogue as Q
+
+    path = "/root/testdata/sf0.001"
+    leaf = {"value": 1.0, "n": 1.0}
+    monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: cls([(0.1, leaf)])))
+    frame = Q.Log(spark, path, whole=True).frame(False)
+    assert frame.where("in_history = 0").count() > 0
+    want = sorted(map(tuple, frame.select("session_code", "item").collect()))
+    assert sorted((r.session_code, r.item) for r in Q.QUERIES["explain_rows"](spark, path).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
