@@ -3,7 +3,9 @@
 Documents are weighted sets of 5-word shingles (words in lower case), weight 1 + ln(times). Each shingle is a Poisson process
 of its weight as the rate: its arrivals fall into random registers, each register keeps its earliest arrival, and a shingle
 stops once its next arrival is later than every register's (early termination). Two registers agree with the probability
-Jaccard similarity of the sets. Registers are hashed in bands; documents that share a band are candidates.
+Jaccard similarity of the sets. Registers are hashed in bands; documents that share a band are candidates. Copies that repeat a
+passage a different number of times can be far apart by these weights, so documents with a repeated shingle have the bands of unit
+weights as well, whose registers agree with the plain Jaccard similarity; without a repeated shingle, both are the same.
 Candidates are verified on the exact Jaccard similarity of their shingle sets, `threshold` or more; classes are the connected components of the links.
 
 Verification goes in rounds and doesn't list the pairs within a bucket: a few leaders of each bucket meet its members, links join classes, and
@@ -28,7 +30,7 @@ from .common import SPACE, SPACES, keep_decided, materialise, maybe_member, memb
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares no band with a probability of about (1 - 0.8 ** ROWS) ** BANDS = 0.0001.
+#: A pair at the threshold shares no band of unit weights with a probability of about (1 - 0.8 ** ROWS) ** BANDS = 0.0001.
 BANDS, ROWS = 24, 5
 #: How many times more leaders a bucket has in the next round.
 GROWTH = 4
@@ -122,6 +124,13 @@ def _banded(batches, bands: int, rows: int):
             doc, h, times = weighted(*shingles(words, lengths))
             keys = band_keys(signatures(doc, h, 1 + np.log(times), end - start, bands * rows), bands, rows)
             lists = [k if n else None for k, n in zip(keys.view(np.int64), lengths)]
+            repeating = np.unique(doc[times > 1])
+            if len(repeating):
+                own = np.isin(doc, repeating)
+                units = np.searchsorted(repeating, doc[own])
+                plain = band_keys(signatures(units, h[own], np.ones(len(units)), len(repeating), bands * rows), bands, rows)
+                for d, k in zip(repeating, plain.view(np.int64)):
+                    lists[d] = np.unique(np.concatenate([lists[d], k]))
             yield pa.record_batch([batch.column(0)[start:end], batch.column(1)[start:end], pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
 
 

@@ -114,6 +114,19 @@ def test_near_dedup_on_documents(spark):
     assert same_partition([got[d] for d, _ in rows], plain_classes(rows))
 
 
+def test_near_copies_that_repeat_passages_differently(spark):
+    """Equal sets but for a word, a part of the shingles many times in one text: far apart by the weights."""
+    r, rows = random.Random(4), []
+    for g in range(120):
+        passage, rest = ([f"{c}{r.randint(0, 10**6)}" for _ in range(n)] for c, n in (("p", 60), ("q", 100)))
+        other = [*rest[:-1], "changed"]
+        rows += [(2 * g, " ".join(passage + passage[:4] + rest)), (2 * g + 1, " ".join(passage * 50 + passage[:4] + other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classify(docs).collect()}
+    want = plain_classes(rows)
+    assert len(set(want)) == 120 and same_partition([got[d] for d, _ in rows], want)
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.classify(clashing(odd_docs(spark))).collect()
     assert len(got) == len(odd_rows()) and sum(r.kept for r in got if r.doc_id == 8) == 1
