@@ -124,10 +124,10 @@ def tower(weights: list[tuple[list[list[float]], list[float]]]):
 
 
 def item2vec(events: DataFrame, dim: int = 32, seed: int = 7, partitions: int = 4) -> DataFrame:
-    """item_id, vec from the order of items in sessions. Stands in for a dual encoder, which needs a library that isn't here."""
+    """item_id, vec of every item from the order of items in sessions. Stands in for a dual encoder, which needs a library that isn't here."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     baskets = events.groupBy("session_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
-    model = Word2Vec(vectorSize=dim, minCount=2, maxIter=2, seed=seed, numPartitions=partitions, inputCol="items", outputCol="vec").fit(baskets)
+    model = Word2Vec(vectorSize=dim, minCount=1, maxIter=2, seed=seed, numPartitions=partitions, inputCol="items", outputCol="vec").fit(baskets)
     return model.getVectors().select(F.col("word").alias("item_id"), vector_to_array("vector").alias("vec"))

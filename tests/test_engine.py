@@ -282,6 +282,12 @@ def test_next_item_queries_and_hits(spark):
     assert (r.n_queries, r.hit_10, r.hit_50) == (2, 0.0, 0.5)
 
 
+def test_item2vec_has_single_items(spark):
+    e = spark.createDataFrame([(s, p, f"i{p}", p, "clicks") for s in range(4) for p in range(1, 5)] + [(9, 1, "i1", 1, "clicks"), (9, 2, "once", 2, "clicks"), (10, 1, "alone", 1, "clicks")], EVENTS)
+    got = {r.item_id: r.vec for r in E.item2vec(e, dim=4, partitions=1).collect()}
+    assert set(got) == {"i1", "i2", "i3", "i4", "once", "alone"} and all(len(v) == 4 for v in got.values())
+
+
 def test_synthetic_sessions(spark):
     raw = synthetic_sessions(spark, 400, 50)
     rows = raw.collect()
