@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides what it can from a block alone: its container (navigation, footers, forms,
-adverts, comments and the like are bad), its link density, its length and its stop-word density. Pass 2 gives ambiguous blocks, short ones and those
+adverts, comments and the like are bad), its link density, its length and its stop-word density. Class and id names are bad as a whole
+only; a bad word within another name counts with links beside it, and names of headings and of what holds the article don't count. Pass 2 gives ambiguous blocks, short ones and those
 with few stop words, the label of the nearest decided neighbours. Inside article or main, blocks look for neighbours there, and
 count as good if there are none.
 
@@ -34,6 +35,8 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription popup modal overlay widget login signup signin register copyright legal pagination pager tags search form".split()
 )
+#: Words that say nothing beside those.
+PLAIN_WORDS = frozenset("site page main post entry wrap wrapper container box list bar block area inner links buttons item items".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe template xmp svg math object canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
@@ -46,7 +49,7 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 SHORT, LONG = 70, 200
 LOW_STOP, HIGH_STOP = 0.15, 0.30
-MAX_LINK = 0.5
+MAX_LINK, SOME_LINK = 0.5, 0.25
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -60,36 +63,50 @@ _ANY_STOP = frozenset().union(*_STOP_SETS)
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "short"
 
 
+class Name:
+    """A bad word in the class or id of an element. whole: the name says nothing else. around: an article or main stands inside."""
+
+    __slots__ = ("whole", "around")
+
+    def __init__(self, whole: bool) -> None:
+        self.whole, self.around = whole, False
+
+
 class Block:
-    __slots__ = ("text", "link", "bad", "main", "heading", "label")
+    __slots__ = ("text", "link", "bad", "main", "heading", "label", "names")
 
-    def __init__(self, text: str, link: int, bad: bool, main: int, heading: bool) -> None:
-        self.text, self.link, self.bad, self.main, self.heading, self.label = text, link, bad, main, heading, ""
+    def __init__(self, text: str, link: int, bad: bool, main: int, heading: bool, names: tuple[Name, ...] = ()) -> None:
+        self.text, self.link, self.bad, self.main, self.heading, self.label, self.names = text, link, bad, main, heading, "", names
 
 
-def _marked_bad(tag: str, attributes: str, in_main: bool) -> bool:
+def _marked_bad(tag: str, attributes: str, in_main: bool) -> bool | Name:
+    """True for what the element itself says, a Name for what its class and id suggest."""
     if tag in BAD_TAGS or tag == "header" and not in_main:
         return True
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    some = whole = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role" and value.strip().lower() in BAD_ROLES:
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _NAME_WORDS.findall(value)}
-            if words & BAD_WORDS or not in_main and "header" in words:
-                return True
-    return False
+        if name in ("class", "id") and tag not in HEADINGS:
+            for part in value.split():
+                words = {w.lower() for w in _NAME_WORDS.findall(part)}
+                found = words & BAD_WORDS if in_main else {w for w in words if w in BAD_WORDS or w == "header"}
+                some = some or bool(found)
+                whole = whole or bool(found) and words - found <= PLAIN_WORDS
+    return Name(whole) if some else False
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page, in order, with the flags of their containers."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, main
+    stack: list[tuple[str, bool | Name, bool]] = []  # tag, bad, main
+    names: list[Name] = []
     bad = mains = main_id = links = link_chars = breaks = 0
     heading, pattern, at, n = False, _TAG, 0, len(html)
 
@@ -97,13 +114,16 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal parts, link_chars, breaks
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(link_chars, len(text)), bad > 0, main_id if mains else 0, heading))
+            out.append(Block(text, min(link_chars, len(text)), bad > 0, main_id if mains else 0, heading, tuple(names)))
         parts, link_chars, breaks = [], 0, 0
 
     def pop() -> None:
         nonlocal bad, mains
         _, was_bad, was_main = stack.pop()
-        bad -= was_bad
+        if isinstance(was_bad, Name):
+            names.pop()
+        else:
+            bad -= was_bad
         mains -= was_main
 
     def data(raw: str) -> None:
@@ -177,17 +197,40 @@ def blocks_of(html: str) -> list[Block]:
         if tag not in BLOCK_TAGS and "class" not in attributes and "id" not in attributes and "role" not in attributes and "hidden" not in attributes and "style" not in attributes and tag not in BAD_TAGS:
             continue  # a plain inline element carries no flag
         own_bad, own_main = _marked_bad(tag, attributes, mains > 0), tag in MAIN_TAGS or 'role="main"' in attributes
+        if isinstance(own_bad, Name) and not own_bad.whole and tag not in BLOCK_TAGS:
+            own_bad = False  # part of a paragraph: only a whole name cuts it
         if own_bad or own_main:
             if tag not in BLOCK_TAGS:
                 flush()  # an advert inside a paragraph is a block of its own
             main_id += own_main
+        if own_main:
+            for name in names:
+                name.around = True
         stack.append((tag, own_bad, own_main))
-        bad += own_bad
+        if isinstance(own_bad, Name):
+            names.append(own_bad)
+        else:
+            bad += own_bad
         mains += own_main
     flush()
+    _weigh_names(out)
     return out
 
 
+def _weigh_names(blocks: list[Block]) -> None:
+    """Marks the blocks that names make bad. A name around an article or main counts only where the page has another one that isn't
+    named so, as beside comments that are articles of their own."""
+    named = [b for b in blocks if b.names and not b.bad]
+    if not named:
+        return
+    other = any(b.main and not b.bad and len(b.text) >= SHORT and not any(n.whole for n in b.names) for b in blocks)
+    for b in named:
+        if any(n.whole and (other or not n.around) for n in b.names):
+            b.bad = True
+        elif b.link > SOME_LINK * len(b.text) and not b.heading:
+            b.bad = any(not n.whole and not n.around for n in b.names)
+
+
 def stop_density(text: str) -> float:
     """The largest share of words that one language's list holds."""
     words = [_WORD_EDGES.sub("", w) for w in text.lower().split()]

@@ -183,6 +183,21 @@ def test_page_without_article():
     assert got[0] == "On the house" and got[2] == "It rained." and len(got) == 4
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">', '<div id="page" class="with-header">', '<div class="no-comments">', '<div class="sidebar">'])
+def test_names_of_wrappers_keep_the_page(wrap):
+    article = "<article><h1>Xy</h1><p>It was the best of the times for all of us and we were in the house with them.</p></article>"
+    assert html_text.main_text(PAGE % f"{wrap}{article}</div>").startswith("Xy\nIt was") and len(html_text.main_text(PAGE % f"{wrap}{article}</div>").split("\n")) == 2
+    if "sidebar" not in wrap.split('"')[1].split():
+        text = "<h2>On the house</h2><p>" + "It was the best of the times for all of us and we were in the house with them. " * 4 + "</p>"
+        assert html_text.main_text(PAGE % f"{wrap}{text}</div>").startswith("On the house\nIt was")
+
+
+def test_names_inside_an_article():
+    body = '<article><h1>Xy</h1><p>It was the best of the times for all of us and we were in the house with them.</p><h2 id="share-prices-fall">Share prices fall</h2><section id="related-work"><p>Work of <span class="share-price">others</span>.</p></section>%s</article>'
+    gone = '<div class="related-posts"><p><a href="/a">One more</a></p></div><div class="comments"><article><p>I was there and it was not at all like that, said he who is a reader of this.</p></article></div>'
+    assert html_text.main_text(PAGE % body % gone).split("\n")[2:] == ["Share prices fall", "Work of others."]
+
+
 def test_short_article_stays():
     assert html_text.main_text(PAGE % "<article><h1>Xy</h1><p>Enoipa.</p><p>Auxpa.</p></article>") == "Xy\nEnoipa.\nAuxpa."
 
