@@ -6,6 +6,9 @@ only; a bad word within another name counts with links beside it, and names of h
 with few stop words, the label of the nearest decided neighbours. Inside article or main, blocks look for neighbours there, and
 count as good if there are none.
 
+Stop words are listed for four languages. A block of another script, or on a page whose text as a whole has few listed words, has no list that
+applies: there, length and link density decide.
+
 Null or empty html, and pages without a good block: empty text. Broken markup: unclosed comments, tags and scripts run to the end of the page; unclosed
 elements end with their parents. Repeated rows are extracted each. Pages of any length are whole; the scan is linear. Empty table: empty result.
 Other columns of the input are ignored, whatever their names.
@@ -56,6 +59,7 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LATIN = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
 _WORD_EDGES = re.compile(r"^\W+|\W+$")
 _STOP_SETS = [frozenset(words.split()) for words in STOP_WORDS.values()]
 _ANY_STOP = frozenset().union(*_STOP_SETS)
@@ -238,8 +242,20 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in hits) for s in _STOP_SETS) / len(words) if hits else 0.0
 
 
-def first_pass(block: Block) -> str:
-    """A label from the block alone."""
+def other_script(text: str) -> bool:
+    """Whether most letters are not Latin, the script of every list."""
+    letters = sum(map(str.isalpha, text))
+    return letters > 0 and 2 * len(_LATIN.findall(text)) < letters
+
+
+def unlisted(blocks: list[Block]) -> bool:
+    """Whether no list fits the page: its unlinked text, blocks of SHORT characters or more, has few words of any one language."""
+    texts = [b.text for b in blocks if not b.bad and len(b.text) >= SHORT and b.link <= MAX_LINK * len(b.text)]
+    return bool(texts) and stop_density(" ".join(texts)) < LOW_STOP
+
+
+def first_pass(block: Block, no_list: bool = False) -> str:
+    """A label from the block alone. no_list: its language has no stop words here."""
     if block.bad:
         return BAD
     link, size = block.link / len(block.text), len(block.text)
@@ -251,6 +267,8 @@ def first_pass(block: Block) -> str:
         return BAD
     if size < SHORT:
         return BAD if link else BRIEF
+    if no_list:
+        return GOOD if link <= SOME_LINK else NEAR
     density = stop_density(block.text)
     if density >= HIGH_STOP:
         return GOOD if size > LONG else NEAR
@@ -293,6 +311,11 @@ def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     for b in blocks:
         b.label = first_pass(b)
+    poor = [b for b in blocks if b.label == BAD and not b.bad and len(b.text) >= SHORT and b.link <= MAX_LINK * len(b.text)]
+    page = bool(poor) and unlisted(blocks)
+    for b in poor:
+        if page or other_script(b.text):
+            b.label = first_pass(b, no_list=True)
     second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == GOOD)
 

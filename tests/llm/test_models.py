@@ -198,6 +198,27 @@ def test_names_inside_an_article():
     assert html_text.main_text(PAGE % body % gone).split("\n")[2:] == ["Share prices fall", "Work of others."]
 
 
+UNLISTED = {
+    "ru": "Вчера вечером в городе открылась новая библиотека, и жители пришли посмотреть на книги, которые собирали много лет.",
+    "pl": "Wczoraj wieczorem otwarto nową bibliotekę, do której mieszkańcy przyszli obejrzeć książki zbierane przez wiele lat.",
+    "zh": "昨天晚上城里新开了一家图书馆，居民们纷纷前来参观多年来收集的书籍。" * 3,
+}
+
+
+@pytest.mark.parametrize("lang", UNLISTED)
+def test_languages_without_stop_words(lang):
+    text = UNLISTED[lang]
+    links = "".join(f'<a href="/{i}">{text[:20]}</a> ' for i in range(6))
+    html = f"<html><body><nav><a href='/'>{text[:9]}</a></nav><div><p>{text}</p><p>{text[:30]}</p><p>{text}</p></div><div>{links}</div><footer>{text}</footer></body></html>"
+    assert html_text.main_text(html).split("\n") == [text, text[:30].strip(), text]
+
+
+def test_another_script_beside_a_listed_language():
+    english = "It was the best of the times for all of us and we were in the house with them. " * 4
+    html = f"<html><body><nav><a href='/'>Home</a></nav><p>{english}</p><p>{UNLISTED['ru']}</p><p>{'Lorem keyword stuffing banana printer ' * 3}</p></body></html>"
+    assert html_text.main_text(html).split("\n") == [english.strip(), UNLISTED["ru"]]
+
+
 def test_short_article_stays():
     assert html_text.main_text(PAGE % "<article><h1>Xy</h1><p>Enoipa.</p><p>Auxpa.</p></article>") == "Xy\nEnoipa.\nAuxpa."
 
