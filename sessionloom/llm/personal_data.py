@@ -3,7 +3,8 @@
 Base entities (email, ip, card, phone) and key-like strings are seeds. The words before an identifier-like token are its pattern. Patterns and
 instances form a graph over the whole corpus; in each round a pattern is as sure as the share of its distinct instances that
 are believed, and an instance as sure as its best pattern. Patterns that stay above `min_confidence` with `min_support`
-distinct instances mark every token behind them, also those of no known shape, as kind `id`.
+distinct instances mark every identifier-like token behind them as kind `id`. Brackets and quotes that open before a token are no part of
+its pattern. Not found: tokens of fewer than 6 characters, and those without a digit or @, even behind a sure pattern.
 DataFrame functions only. Texts are scanned once, map-side; the graph and the joins carry spans and hashes, no texts.
 
 Null text: no spans. Repeated rows count each, but an instance counts once for a pattern, however often it is copied. Texts of any length are whole;
@@ -27,6 +28,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A token that may be an identifier: at least MIN_TOKEN characters of these, a digit or @ among them.
 TOKEN = r"(?<![A-Za-z0-9@._%+:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9@._%+:/-]{6,}+"
+#: What may open before a token and says nothing about it.
+OPENING = r"[(\[{<\x22'`\u2018\u201C\u201E\u00AB\u2039]+$"
 #: Key-like strings are seeds beside the base entities.
 KEY = r"(?i)[0-9a-f]{32,}"
 #: Characters of the left context that are looked at.
@@ -89,8 +92,8 @@ def contexts(text: Column) -> Column:
         def step(s, x):
             start = s["at"] + F.length(x["piece"])
             end = start + F.length(x["match"])
-            near = F.lower(F.right(x["piece"], F.lit(REACH)))
-            # the last two words, and what adjoins the token (a quote, a bracket, or nothing)
+            near = F.lower(F.regexp_replace(F.right(x["piece"], F.lit(REACH)), OPENING, ""))
+            # the last two words, and what adjoins the token (punctuation, or nothing)
             context = F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.split(near, r"[\x20\x09-\x0D]+", -1)), -3, 3), " ")
             one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["match"].alias("token"), context.alias("context"))
             return F.struct(end.cast("int").alias("at"), F.array_append(s["all"], one).alias("all"))

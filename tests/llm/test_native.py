@@ -174,6 +174,16 @@ def test_bootstrapping(spark):
     assert all(got[i].startswith("email:") and "id:" not in got[i] for i in range(12))
 
 
+def test_openings_are_no_part_of_a_pattern(spark):
+    rows = [(i, f"{prose(i, 6)} reach me at: user{i}@mail.example.com {prose(50 + i, 4)}") for i in range(12)]
+    rows += [(22, "Reach me  at: (nick-55) fine"), (23, 'so reach me at: "nick-56" then'), (24, "so reach me at: [\u201cnick-57\u201d] then"), (25, "so reach them at: (nick-58) then")]
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[12:15]:
+        start = text.index("nick")
+        assert got[i] == f"id:{start}:{start + 7}"
+    assert got[25] == ""
+
+
 def plain_targets(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
