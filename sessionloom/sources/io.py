@@ -5,30 +5,80 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only in local mode (tests) a temporary folder stands in for it; on a cluster the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch(list):
+    """Paths that materialise() wrote inside one scratch() block, the last one last."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[str] = []
+
+    def keep(self) -> None:
+        """The table written last outlives the block."""
+        self.kept.append(self.pop())
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the tables that materialise() writes inside, but for kept ones, which pass to the block around it. Blocks of other threads and
+    queries know nothing of each other. Tables written outside any block stay: a lazy result may read them."""
+    own, outer = Scratch(), _scratch.get()
+    token = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            remove(spark, path)
+        if outer is not None:
+            outer.extend(own.kept)
+
+
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.options(**options).parquet(path)
+    own = _scratch.get()
+    if own is not None:
+        own.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_tabular(spark: SparkSession, source: DataFrame | str) -> DataFrame:
@@ -75,8 +125,6 @@ def dense_codes(df: DataFrame, order: list[str], name: str) -> DataFrame:
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = materialise(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "codes")
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    from pyspark.sql import Window
-
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
     starts = counts.select("_part", "_first", before.alias("_before"))
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_n", "_first", "_before")
