@@ -2,56 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import Scratch, fresh_path, materialise, remove, scratch, shared_dir
+
+__all__ = ["Scratch", "fresh_path", "materialise", "remove", "scratch", "shared_dir"]
+
 #: Java regex of the white space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: Bits of the membership filter: 512 KB whatever the input size.
-FILTER_BITS = 1 << 22
-_BUCKET_BITS = 32768
+#: Bits of a membership filter for each key that it holds, and the bounds of its size: 4 KB to 32 MB, so that it can always be broadcast.
+#: Beyond 2 ** 28 keys nearly everything passes it: results stay right, more rows go through an exchange.
+BITS_PER_KEY = 16
+MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 15, 1 << 28
+#: Keys that hold more than 1 / HEAVY_KEYS of the rows are heavy: there are at most that many, whatever the input.
+HEAVY_KEYS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+def trimmed(run):
+    """run, a function for mapInArrow, with the worker's free memory given back when its task ends: Python workers wait for the tasks of later
+    stages, and what they hold counts against the executor."""
 
-    Only where that setting is absent (local tests) a temporary folder is made and remembered.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sessionloom-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    @wraps(run)
+    def task(batches):
+        import pyarrow as pa
 
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return task
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
-    written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-#: Paths of materialise(), in order, for release().
-written: list[str] = []
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column, row, with columns of our own beside it: no name of theirs can meet one of ours. `row.*` unpacks it."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
-def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what materialise() wrote after the first `since` tables, but for tables of the names in keep."""
-    for path in written[since:]:
-        if not path.rsplit("/", 1)[-1].rsplit("-", 1)[0] in keep:
-            remove(spark, path)
-    del written[since:]
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table(key, count, ...), which has one row for each key and the number of its rows as `count`.
+
+    Heavy keys, HEAVY_KEYS of them at most, meet their row by broadcast, where they are; the others go by an exchange.
+    Both sides are read twice, so they should be on disk.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    heavy = table.where(F.col(count) * HEAVY_KEYS > total)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(count) * HEAVY_KEYS <= total), key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
 
 
 def let(value: Column, body) -> Column:
@@ -73,41 +85,42 @@ def _bit(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
 
-def membership(keys: DataFrame, digest: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap filter of the digests in keys: at most bits / 32768 rows of 4 KB, a bound that no input size changes."""
-    bit = _bit(F.col(digest), bits)
-    return keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
+def filter_bits(keys: int) -> int:
+    """The size of a filter for so many keys: a power of two within the bounds."""
+    return min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (BITS_PER_KEY * keys).bit_length()))
+
 
+class Membership:
+    """A bitmap filter of digests, sized to their number: bits / 32768 rows of 4 KB."""
 
-def with_membership(df: DataFrame, digest: str, bitmap: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
-    """df with a boolean column: whether the row's digest may be among those of the filter. False positives occur, members are
-    never missed. A map-side step."""
-    bit = _bit(F.col(digest), bits)
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)})
-    return placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_at", "_bitmap")
+    def __init__(self, keys: DataFrame, digest: str, count: int | None = None) -> None:
+        self.bits = filter_bits(keys.count() if count is None else count)
+        bit = _bit(F.col(digest), self.bits)
+        self.bitmap = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap"))
 
+    def mark(self, df: DataFrame, digest: str, name: str) -> DataFrame:
+        """df with a boolean column: whether the row's digest may be among those of the filter. False positives occur, members are
+        never missed. A map-side step."""
+        bit = _bit(F.col(digest), self.bits)
+        byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+        placed = df.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)})
+        return placed.join(F.broadcast(self.bitmap), "_bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_at", "_bitmap")
 
-def maybe_member(df: DataFrame, digest: str, bitmap: DataFrame) -> DataFrame:
-    """Rows of df whose digest may be among those of the filter."""
-    return with_membership(df, digest, bitmap, "_maybe").where("_maybe").drop("_maybe")
+    def maybe(self, df: DataFrame, digest: str) -> DataFrame:
+        """Rows of df whose digest may be among those of the filter."""
+        return self.mark(df, digest, "_maybe").where("_maybe").drop("_maybe")
 
 
-def keep_decided(marked: DataFrame, digest: str, decided: DataFrame) -> DataFrame:
-    """The rows of marked(doc_id, digest, ...) that stay, by decided(_doc, _digest, _stays): verdicts on every row whose digest is up
-    for a decision. Rows of other digests stay without an exchange: a bitmap of fixed size tells them. Of equal rows one stays.
+def keep_decided(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """row.* of rows(row, doc, digest) that stay, by decided(doc, digest, stays), a table on disk: verdicts on every row whose digest is up for a
+    decision. Rows of other digests stay without an exchange: a bitmap tells them. Of rows equal in doc and digest one stays; they
+    are brought together before the join, so that a row with many repetitions is one row of a task in the exchange.
     """
-    asked = with_membership(marked, digest, membership(decided.select("_digest"), "_digest"), "_asked")
-    clear, unclear = asked.where(~F.col("_asked")).drop("_asked"), asked.where("_asked").drop("_asked")
-    same = (unclear[digest] == decided["_digest"]) & unclear["doc_id"].cast("long").eqNullSafe(decided["_doc"])
-    left = unclear.join(decided.where("_stays").select("_doc", "_digest"), same, "left_semi").dropDuplicates(["doc_id", digest])
-    # false positives of the bitmap: their digest was never asked about
-    other = unclear.join(decided.select("_digest").distinct(), unclear[digest] == F.col("_digest"), "left_anti")
-    return clear.unionByName(left).unionByName(other)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, wherever it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    once = decided.groupBy("doc", "digest").agg(F.max("stays").alias("stays"))
+    asked = Membership(decided.select("digest"), "digest").mark(rows, "digest", "asked")
+    clear = asked.where(~F.col("asked")).select("row.*")
+    unclear = asked.where("asked").groupBy("doc", "digest").agg(F.first("row").alias("row"))
+    met = unclear.alias("u").join(once.alias("d"), F.col("u.doc").eqNullSafe(F.col("d.doc")) & (F.col("u.digest") == F.col("d.digest")), "left")
+    # false positives of the bitmap have no verdict: they were never asked about
+    return clear.unionByName(met.where(F.coalesce("d.stays", F.lit(True))).select("u.row.*"))

@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 decides what it can from a block alone: its container (navigation, footers, forms,
-adverts, comments and the like are bad), its link density, its length and its stop-word density. Class and id names are bad as a whole
-only; a bad word within another name counts with links beside it, and names of headings and of what holds the article don't count. Pass 2 gives ambiguous blocks, short ones and those
-with few stop words, the label of the nearest decided neighbours. Inside article or main, blocks look for neighbours there, and
-count as good if there are none.
+A page is cut into blocks at block-level tags. Pass 1 decides what it can from a block alone: its link density, its length, and its stop-word density
+against that of the whole page; blocks in containers that never hold the article (navigation, footers, forms, adverts, comments and the like) are
+bad. Class and id names are bad as a whole only; a bad word within another name counts with links beside it, and names of headings and of
+what holds the article don't count. Pass 2 gives ambiguous blocks (short ones, and those that pass 1 can't tell) the label of the nearest decided
+neighbours. Containers say nothing about their neighbours, so only blocks decided by their text pass labels on.
+
+An article or main element is one feature among these: a poor block inside it is ambiguous rather than bad, its ambiguous blocks look for
+neighbours inside it, and beside such an element that has good text, blocks outside have no good neighbours to inherit from.
 
 Stop words are listed for four languages. A block of another script, or on a page whose text as a whole has few listed words, has no list that
-applies: there, length and link density decide.
+applies: there, length and link density decide. A page on which the text of no block decides anything, short pages that is, keeps its ambiguous unlinked blocks.
 
 Null or empty html, and pages without a good block: empty text. Broken markup: unclosed comments, tags and scripts run to the end of the page; unclosed
 elements end with their parents. Repeated rows are extracted each. Pages of any length are whole; the scan is linear. Empty table: empty result.
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Frequent function words.
 STOP_WORDS = {
     "en": "a about after all also an and any are as at be been but by can could did do for from had has have he her his if in into is it its more no not of on one or our she so some than that the their them there they this to up us was we were what when which who will with would you your",
@@ -51,7 +56,11 @@ _ENDS_P = BLOCK_TAGS - frozenset(["html", "head", "body", "button"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 SHORT, LONG = 70, 200
-LOW_STOP, HIGH_STOP = 0.15, 0.30
+#: Below this density over all its text, a page is in no listed language.
+LOW_STOP = 0.15
+#: A block is poor if it has fewer stop words than its length at the page's density lets expect, by so many standard deviations; and rich
+#: with this share of the page's density.
+POOR, RICH = 3.0, 0.8
 MAX_LINK, SOME_LINK = 0.5, 0.25
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -235,11 +244,11 @@ def _weigh_names(blocks: list[Block]) -> None:
             b.bad = any(not n.whole and not n.around for n in b.names)
 
 
-def stop_density(text: str) -> float:
-    """The largest share of words that one language's list holds."""
+def stop_words(text: str) -> tuple[int, int]:
+    """Words of a text, and how many of them the list of one language holds, the one that holds most."""
     words = [_WORD_EDGES.sub("", w) for w in text.lower().split()]
     hits = [w for w in words if w in _ANY_STOP]
-    return max(sum(w in s for w in hits) for s in _STOP_SETS) / len(words) if hits else 0.0
+    return len(words), max(sum(w in s for w in hits) for s in _STOP_SETS) if hits else 0
 
 
 def other_script(text: str) -> bool:
@@ -248,35 +257,32 @@ def other_script(text: str) -> bool:
     return letters > 0 and 2 * len(_LATIN.findall(text)) < letters
 
 
-def unlisted(blocks: list[Block]) -> bool:
-    """Whether no list fits the page: its unlinked text, blocks of SHORT characters or more, has few words of any one language."""
-    texts = [b.text for b in blocks if not b.bad and len(b.text) >= SHORT and b.link <= MAX_LINK * len(b.text)]
-    return bool(texts) and stop_density(" ".join(texts)) < LOW_STOP
+def page_density(blocks: list[Block]) -> float:
+    """The share of stop words in the page's unlinked text of Latin script, blocks of SHORT characters or more; below LOW_STOP no list fits the page."""
+    counts = [stop_words(b.text) for b in blocks if not b.bad and len(b.text) >= SHORT and b.link <= MAX_LINK * len(b.text) and not other_script(b.text)]
+    return sum(h for _, h in counts) / max(1, sum(n for n, _ in counts))
 
 
-def first_pass(block: Block, no_list: bool = False) -> str:
-    """A label from the block alone. no_list: its language has no stop words here."""
+def first_pass(block: Block, density: float) -> str:
+    """A label from the block alone, on a page of that density of stop words."""
     if block.bad:
         return BAD
     link, size = block.link / len(block.text), len(block.text)
-    if block.main:
-        if size < SHORT or link > MAX_LINK:
-            return BRIEF
-        return GOOD if stop_density(block.text) >= LOW_STOP else NEAR
     if link > MAX_LINK:
-        return BAD
+        return BRIEF if block.main or block.heading else BAD
     if size < SHORT:
-        return BAD if link else BRIEF
-    if no_list:
+        return BAD if not block.main and (link > SOME_LINK or "©" in block.text) else BRIEF
+    if density < LOW_STOP or other_script(block.text):
         return GOOD if link <= SOME_LINK else NEAR
-    density = stop_density(block.text)
-    if density >= HIGH_STOP:
-        return GOOD if size > LONG else NEAR
-    return NEAR if density >= LOW_STOP else BAD
+    words, hits = stop_words(block.text)
+    expected = density * words
+    if expected - hits > POOR * (expected * (1 - density)) ** 0.5:
+        return NEAR if block.main else BAD
+    return GOOD if link <= SOME_LINK and (size >= LONG or hits >= RICH * expected) else NEAR
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Labels for ambiguous blocks from the nearest decided neighbours: the nearer one, and of two at one distance the good one inside
+    """Labels for ambiguous blocks from the nearest neighbours that their text decided: the nearer one, and of two at one distance the good one inside
     an article or for a block of some substance, else the bad one."""
     n = len(blocks)
     before: list[int] = [-1] * n
@@ -285,21 +291,22 @@ def second_pass(blocks: list[Block]) -> None:
         last: dict[int, int] = {}
         for i in order:
             places[i] = last.get(blocks[i].main, places[i])
-            if blocks[i].label in (GOOD, BAD):
+            if blocks[i].label in (GOOD, BAD) and not blocks[i].bad:
                 last[blocks[i].main] = i
     decided = [b.label for b in blocks]
+    somewhere = GOOD in decided
     for i, b in enumerate(blocks):
         if b.label in (GOOD, BAD):
             continue
         left, right = before[i], after[i]
         sides = {decided[k] for k in (left, right) if 0 <= k < n}
+        linked = b.link > MAX_LINK * len(b.text)
         if b.main:
-            # bad blocks inside an article are what its own flags name: they say nothing about their neighbours
-            b.label = BAD if BRIEF == decided[i] and b.link > MAX_LINK * len(b.text) and not b.heading and GOOD not in sides else GOOD
+            b.label = GOOD if GOOD in sides or not sides and not linked else BAD
+        elif not sides:
+            b.label = BAD if linked or somewhere else GOOD
         elif len(sides) == 1:
             b.label = sides.pop()
-        elif not sides:
-            b.label = GOOD if decided[i] == NEAR else BAD
         elif i - left != right - i:
             b.label = decided[left if i - left < right - i else right]
         else:
@@ -309,13 +316,9 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(html: str | None) -> str:
     """Good blocks of a page, a line each."""
     blocks = blocks_of(html or "")
+    density = page_density(blocks)
     for b in blocks:
-        b.label = first_pass(b)
-    poor = [b for b in blocks if b.label == BAD and not b.bad and len(b.text) >= SHORT and b.link <= MAX_LINK * len(b.text)]
-    page = bool(poor) and unlisted(blocks)
-    for b in poor:
-        if page or other_script(b.text):
-            b.label = first_pass(b, no_list=True)
+        b.label = first_pass(b, density)
     second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == GOOD)
 
@@ -328,7 +331,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages(page_id, url, html). No exchange."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Quality rules: base counts of each text, and lines that too many documents of one host carry.
 
-Lines are normalised (lower case, white space runs as one space, trimmed) and hashed; a line that more than `max_docs` distinct
-rows of a host hold is removed from all of them; a document that keeps less than `min_kept` of its words is rejected.
+Lines are normalised (lower case, white space runs as one space, trimmed) and hashed; a line that more distinct documents of a host
+hold than its limit allows is removed from all of them; a document that keeps less than `min_kept_tenths` of its words is rejected. The limit of a
+host is `max_docs`, or `max_percent` of its documents where that is more.
 DataFrame functions only. Texts are read once: counts and line hashes go to a narrow table, and all exchanges carry that.
 
-Null text: no words, so the base fails. Null host (source): a host of its own. Each row counts as a document, also a repeated one.
-Texts of any length are whole. Empty table: empty result. Other columns of the input are ignored, whatever their names.
+Null text: no words, so the base fails; in cleaned_text() it stays null. Null host (source): a host of its own. Rows of a host that agree in doc_id and lines are one
+document for the counts, and each has its own verdict. Texts of any length are whole; lines without a word are never removed. Empty table:
+empty result. Other columns of the input are ignored by line_quality() and kept by cleaned_text(), whatever their names.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, materialise, words_of
+from .common import SPACE, SPACES, join_spread, materialise, packed, quoted, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate of a host when more of its documents than this hold it.
-MAX_DOCS = 20
+#: A line is boilerplate of a host when more of its documents than this hold it, in number and in percent.
+MAX_DOCS, MAX_PERCENT = 20, 2
 #: Tenths of its words that a document must keep.
 MIN_KEPT_TENTHS = 3
 
@@ -47,7 +49,7 @@ def normalised(line: Column) -> Column:
 def features(docs: DataFrame, host: str) -> DataFrame:
     """One narrow row per document: base counts, and hash and words of every line that has a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col(quoted(host)).cast("string").alias("host"), text.alias("text"))
     rows = rows.select(
         "rid", "doc_id", "host", words_of(F.col("text")).alias("words"), F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -59,15 +61,33 @@ def features(docs: DataFrame, host: str) -> DataFrame:
     return rows.select("rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.transform("clean", line).alias("lines"))
 
 
-def line_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_kept_tenths: int = MIN_KEPT_TENTHS) -> DataFrame:
+def _host_key() -> Column:
+    """A host as a key that is never null: its name behind a sign, nothing for a null one."""
+    return F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit(""))
+
+
+def _line_key() -> Column:
+    return F.concat(F.col("hash").cast("string"), F.col("key"))
+
+
+def _frequent(documents: DataFrame, max_docs: int, max_percent: float) -> DataFrame:
+    """line, docs of the lines above their host's limit, for documents(key, doc_id, hashes), hashes without repeats; a table on disk. line names host and line."""
+    # a document that stands several times in its host counts once
+    once = materialise(documents.dropDuplicates(["key", "doc_id", "hashes"]).select("key", "hashes"), "line-documents")
+    hosts = materialise(once.groupBy("key").agg(F.count("*").alias("of_host")), "line-hosts")
+    # partial sums bound a frequent line: a row per task
+    counts = once.select("key", F.explode("hashes").alias("hash")).groupBy("key", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    limited = join_spread(materialise(counts, "line-counts"), hosts, "key", "of_host").where(100 * F.col("docs") > max_percent * F.col("of_host"))
+    return materialise(limited.select(_line_key().alias("line"), "docs"), "line-frequent")
+
+
+def line_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_PERCENT, min_kept_tenths: int = MIN_KEPT_TENTHS) -> DataFrame:
     """doc_id, base counts, base_failed, kept, n_removed_words, n_removed_lines for docs(doc_id, text, host)."""
     table = materialise(features(docs, host), "line-quality")
-    lines = table.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", F.col("l.hash").alias("hash"), F.col("l.words").alias("words"))
-    # one row per document and distinct line, so a plain count is a count of documents, and partial sums bound a frequent line
-    distinct = table.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    frequent = distinct.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    on = lines["host"].eqNullSafe(frequent["host"]) & (lines["hash"] == frequent["hash"])
-    gone = lines.join(frequent, on).groupBy("rid").agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
+    lines = table.select("rid", _host_key().alias("key"), F.explode("lines").alias("l")).select("rid", "key", F.col("l.hash").alias("hash"), F.col("l.words").alias("words"))
+    hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
+    frequent = _frequent(table.select(_host_key().alias("key"), "doc_id", hashes.alias("hashes")), max_docs, max_percent)
+    gone = join_spread(lines.withColumn("line", _line_key()), frequent, "line", "docs").groupBy("rid").agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     stays = 10 * (F.col("n_words") - removed) >= min_kept_tenths * F.col("n_words")
@@ -77,17 +97,19 @@ def line_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS
     )
 
 
-def cleaned_text(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+def cleaned_text(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_percent: float = MAX_PERCENT) -> DataFrame:
     """docs with the frequent lines taken out of text. The lines to remove are joined per row, as an array of hashes."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    kept_names = [F.col(f"row.{quoted(c)}") if c != "text" else F.col("text") for c in docs.columns]
+    rows = packed(docs, rid=F.monotonically_increasing_id(), doc_id=F.col("doc_id").cast("long"), host=F.col(quoted(host)).cast("string"), text=F.col("text"))
     rows = materialise(rows, "line-docs")
-    hashed = rows.select("_rid", F.col(host).cast("string").alias("_host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(normalised(x))))).alias("_hash"))
-    hashed = hashed.where(F.col("_hash") != F.xxhash64(F.lit("")))
-    frequent = hashed.groupBy("_host", "_hash").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs)
-    on = F.col("h._host").eqNullSafe(F.col("f._host")) & (F.col("h._hash") == F.col("f._hash"))
-    gone = hashed.alias("h").join(frequent.alias("f"), on).groupBy("_rid").agg(F.collect_set("h._hash").alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), F.xxhash64(normalised(x))), F.lit(False))), "\n")
-    return rows.join(gone, "_rid", "left").withColumn("text", kept).drop("_rid", "_gone")
+    blank = F.xxhash64(F.lit(""))
+    hashes = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.xxhash64(normalised(x))), lambda h: h != blank)))
+    hashed = rows.select("rid", _host_key().alias("key"), "doc_id", hashes.alias("hashes"))
+    frequent = _frequent(hashed.drop("rid"), max_docs, max_percent)
+    lines = hashed.select("rid", "key", F.explode("hashes").alias("hash")).withColumn("line", _line_key())
+    gone = join_spread(lines, frequent, "line", "docs").groupBy("rid").agg(F.collect_set("hash").alias("gone"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), F.xxhash64(normalised(x))), F.lit(False))), "\n")
+    return rows.join(gone, "rid", "left").withColumn("text", kept).select(kept_names)
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +128,11 @@ WITH d AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times FROM g), (VALUES (0), (1), (2)) AS o(k) WHERE times > 1 GROUP BY rid
 ), l AS (
   SELECT rid, host, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line FROM (SELECT rid, host, unnest(lines) AS line FROM w)
+), u AS (
+  SELECT DISTINCT host, doc_id, lines FROM (SELECT w.rid, any_value(w.host) AS host, any_value(w.doc_id) AS doc_id, list_sort(list_distinct(list(l.line) FILTER (l.line IS NOT NULL))) AS lines FROM w LEFT JOIN l USING (rid) GROUP BY w.rid)
 ), f AS (
-  SELECT host, line FROM (SELECT DISTINCT rid, host, line FROM l) GROUP BY host, line HAVING count(*) > {MAX_DOCS}
+  SELECT host, line FROM (SELECT host, unnest(lines) AS line, of_host FROM (SELECT *, count(*) OVER (PARTITION BY host) AS of_host FROM u))
+  GROUP BY host, line HAVING count(*) > {MAX_DOCS} AND 100 * count(*) > {MAX_PERCENT} * max(of_host)
 ), r AS (
   SELECT l.rid, sum(len(string_split(l.line, ' ')))::BIGINT AS gone_words, count(*) AS gone_lines FROM l JOIN f ON l.host IS NOT DISTINCT FROM f.host AND l.line = f.line GROUP BY l.rid
 ), b AS (

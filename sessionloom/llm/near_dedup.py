@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import common
-from .common import SPACE, SPACES, keep_decided, materialise, maybe_member, membership, release
+from .common import SPACE, SPACES, Membership, join_spread, keep_decided, materialise, packed, scratch, trimmed
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,7 +34,7 @@ BANDS, ROWS = 24, 5
 #: How many times more leaders a bucket has in the next round.
 GROWTH = 4
 #: Words of the documents that are hashed at once: bounds the memory of a task, but for a single longer text.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -135,15 +134,12 @@ def _banded(batches, bands: int, rows: int):
 
 
 def _sets(batches):
-    """node, set: the distinct shingles of each document as sorted 32-bit hashes."""
+    """node, set: the distinct shingles of each document as sorted 64-bit hashes."""
     for batch in batches:
         for start, end, words, lengths in _chunks(batch, 1):
-            doc, h = shingles(words, lengths)
-            codes = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
-            counts = np.bincount((codes >> np.uint64(32)).astype(np.int64), minlength=end - start)
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            values = pa.array((codes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.record_batch([batch.column(0)[start:end], pa.ListArray.from_arrays(pa.array(ends), values)], names=["node", "set"])
+            doc, h, _ = weighted(*shingles(words, lengths))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=end - start))]).astype(np.int32)
+            yield pa.record_batch([batch.column(0)[start:end], pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["node", "set"])
 
 
 def normal_words(text: Column) -> Column:
@@ -247,45 +243,58 @@ def _components(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, kept, digest: a row per row of docs(doc_id, text). class_id: the smallest doc_id of the class."""
-    since = len(common.written)
-    normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("normal"))
-    hashed = normal.select("doc_id", F.unhex(F.sha2("normal", 256)).alias("digest"), _word_hashes(F.col("normal")).alias("words"))
-    banded = hashed.mapInArrow(lambda b: _banded(b, bands, rows), "doc_id long, digest binary, bands array<long>")
-    table = materialise(banded.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", "bands"), "near-bands")
-
-    # texts with the same words: one node, whose keys any of its rows can give
-    named = table.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("node"), F.any_value("bands").alias("bands"))
-    nodes = materialise(named, "near-nodes")
-    keys = nodes.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialise(keys.join(shared, "key"), "near-members")
-
-    # shingle sets of the nodes in such buckets alone; a bitmap keeps other texts out of the exchange
-    involved = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "first_id"), "near-involved")
-    texts = normal.withColumn("digest", F.unhex(F.sha2("normal", 256)))
-    texts = maybe_member(texts, "digest", membership(involved.select("digest"), "digest"))
-    own = texts.join(involved, (texts["digest"] == involved["digest"]) & texts["doc_id"].eqNullSafe(involved["first_id"])).select("node", "normal")
-    once = own.groupBy("node").agg(F.min("normal").alias("normal"))
-    sets = materialise(once.select("node", _word_hashes(F.col("normal")).alias("words")).mapInArrow(_sets, "node long, set array<int>"), "near-sets")
-
-    labels = _components(members, nodes, sets, threshold)
-    found = nodes.select("node", "digest", "first_id")
-    found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spark = docs.sparkSession
+    with scratch(spark) as made:
+        normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("normal"))
+        hashed = normal.select("doc_id", F.unhex(F.sha2("normal", 256)).alias("digest"), _word_hashes(F.col("normal")).alias("words"))
+        banded = hashed.mapInArrow(trimmed(lambda b: _banded(b, bands, rows)), "doc_id long, digest binary, bands array<long>")
+        table = materialise(banded.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", "bands"), "near-bands")
+
+        # texts with the same words: one node, whose keys any of its rows can give
+        named = table.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("node"), F.any_value("bands").alias("bands"), F.count("*").alias("copies"))
+        nodes = materialise(named, "near-nodes")
+        keys = nodes.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "node")
+        shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = materialise(keys.join(shared, "key"), "near-members")
+
+        # shingle sets of the nodes in such buckets alone; a bitmap keeps other texts out of the exchange
+        involved = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "first_id"), "near-involved")
+        texts = normal.withColumn("digest", F.unhex(F.sha2("normal", 256)))
+        texts = Membership(involved, "digest").maybe(texts, "digest")
+        own = texts.join(involved, (texts["digest"] == involved["digest"]) & texts["doc_id"].eqNullSafe(involved["first_id"])).select("node", "normal")
+        once = own.groupBy("node").agg(F.min("normal").alias("normal"))
+        sets = materialise(once.select("node", _word_hashes(F.col("normal")).alias("words")).mapInArrow(trimmed(_sets), "node long, set array<long>"), "near-sets")
+
+        labels = _components(members, nodes, sets, threshold)
+        found = nodes.select("node", "digest", "first_id", "copies")
+        found = found.withColumn("label", F.col("node")) if labels is None else found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # a class is known from its nodes, and its first row by the smallest doc_id and then row number of its first node
+        lead = F.struct(F.col("first_id").isNull().alias("absent"), "first_id", "node")
+        groups = materialise(found.groupBy("label").agg(F.min(lead).alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes")), "near-groups")
+        found = materialise(found.select("digest", "label", "copies"), "near-found")
+        classes = join_spread(found, groups, "label", "nodes").select("digest", "copies", F.col("first.first_id").alias("class_id"), F.col("first.node").alias("first_node"), "class_size")
+        classes = materialise(classes, "near-classes")
+        # rows of one text are spread too: a text with a large share of the rows meets its class where its rows lie
+        placed = materialise(join_spread(table.select("rid", "doc_id", "digest"), classes, "digest", "copies"), "near-placed")
+        made.keep()
+    first_row = placed.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("first_node").agg(F.min("rid").alias("first_rid"))
     # blank texts are alone
-    blank = F.unhex(F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"))
-    placed = table.select("rid", "doc_id", "digest").join(found.select("digest", "label"), "digest")
-    placed = materialise(placed.withColumn("label", F.when(F.col("digest") == blank, F.col("rid")).otherwise(F.col("label"))), "near-placed")
-    release(docs.sparkSession, since, keep=("near-placed",))
-    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
-    groups = placed.groupBy("label").agg(F.min(first).alias("first"), F.count("*").alias("class_size"))
-    return placed.join(groups, "label").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "digest")
+    blank = F.col("digest") == F.unhex(F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"))
+    single = placed.where(blank | (F.col("class_size") == 1)).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "digest")
+    several = placed.where(~blank & (F.col("class_size") > 1))
+    others = several.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "class_id", "class_size", F.lit(False).alias("kept"), "digest")
+    # few rows of a class have its smallest doc_id: the first of them stays
+    leads = several.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).join(first_row, "first_node")
+    leads = leads.select("doc_id", "class_id", "class_size", (F.col("rid") == F.col("first_rid")).alias("kept"), "digest")
+    return single.unionByName(others).unionByName(leads)
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns."""
+    rows = packed(docs, doc=F.col("doc_id").cast("long"), digest=F.unhex(F.sha2(normal_words(F.col("text")), 256)))
     several = classify(docs, **options).where("class_size > 1")
-    decided = materialise(several.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("kept").alias("_stays")), "near-decided")
-    return keep_decided(docs.withColumn("_own", F.unhex(F.sha2(normal_words(F.col("text")), 256))), "_own", decided).select(docs.columns)
+    decided = materialise(several.select(F.col("doc_id").alias("doc"), "digest", F.col("kept").alias("stays")), "near-decided")
+    return keep_decided(rows, decided)
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

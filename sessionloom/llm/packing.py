@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .encoding import encoder
+from .common import materialise, trimmed
+from .encoding import drop_encoders, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -38,11 +38,12 @@ def _cut(batches, path: str, end_id: int, capacity: int):
         columns = list(zip(*rows)) or [()] * 5
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    drop_encoders()
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32. No exchange."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _cut(b, tokenizer, end_id, capacity), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda b: _cut(b, tokenizer, end_id, capacity)), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:

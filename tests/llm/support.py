@@ -41,7 +41,8 @@ def clashing(df):
     """df with more columns, of names that operators use inside."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({n: F.lit("x") for n in ("rid", "digest", "key", "node", "label", "size", "host", "hash", "kept", "length", "words", "bucket", "_salt", "at", "rank", "normal", "lines", "base", "start", "target")})
+    return df.withColumns({n: F.lit("x") for n in ("rid", "digest", "key", "node", "label", "size", "host", "hash", "kept", "length", "words", "bucket", "_salt", "at", "rank", "normal", "lines", "base", "start", "target", "row", "doc", "docs", "copies", "cut", "stays", "asked", "keep", "place", "line", "rows",
+        "_own", "_n", "_doc", "_size", "_copies", "_sha256", "_asked", "_bucket", "_at", "_bitmap", "_digest", "_rid", "_gone", "_maybe", "a.b", "with `tick")})
 
 
 def empty(spark):

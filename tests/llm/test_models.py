@@ -39,6 +39,34 @@ def test_grams_equal_plain_counts(text):
     assert sorted(counts.tolist()) == sorted(plain.values()) and len(set(codes.tolist())) == len(plain)
 
 
+def plain_prediction(text, profiles, ranks):
+    """Out-of-place distances by plain loops. Of equal counts, the gram that comes first in the order of its code: shorter ones first, then by code points."""
+    order = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    own = sorted(((n, g) for g, n in plain_profile(text, ranks).items()), key=lambda x: (-x[0], order(x[1])))[:ranks]
+    if not own:
+        return "und", 0.0
+    places = {lang: {g: i for i, g in enumerate(grams)} for lang, grams in profiles.items()}
+    distances = {lang: sum(min(abs(p[g] - i), ranks) if g in p else ranks for i, (_, g) in enumerate(own)) for lang, p in places.items()}
+    best = min(sorted(distances), key=distances.get)
+    return best, 1 - distances[best] / (ranks * len(own))
+
+
+def test_language_against_plain_distances(spark):
+    """Learned and predicted by loops over whole texts: the same languages and the same scores."""
+    ranks, by_lang = 120, defaultdict(lambda: __import__("collections").Counter())
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 1").collect()] + [r[:3] for r in odd_rows()]
+    import zlib
+
+    for d, text, lang in rows:
+        if lang is not None and (d is None or zlib.crc32(str(d).encode()) % 5):
+            by_lang[lang].update(plain_profile(text or "", ranks))
+    order = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    profiles = {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], order(x[0])))[:ranks]] for lang, c in by_lang.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, language.learn(docs, max_docs=10**6, ranks=ranks)).collect()}
+    assert got == {(d, lang, round(score, 9)) for d, (lang, score) in ((d, plain_prediction(text or "", profiles, ranks)) for d, text, _ in rows)}
+
+
 def test_language_odd_rows(spark):
     docs = clashing(odd_docs(spark))
     got = {(r.doc_id, r.lang_pred, r.score > 0) for r in language.predict(docs, language.learn(docs)).collect()}
@@ -127,6 +155,20 @@ def test_near_copies_that_repeat_passages_differently(spark):
     assert len(set(want)) == 120 and same_partition([got[d] for d, _ in rows], want)
 
 
+def test_near_copies_with_passages_of_their_own(spark):
+    """Shared words, and in each text a passage of its own many times: near by their sets, far by their weights."""
+    r, rows = random.Random(7), []
+    word = lambda: f"w{r.randint(0, 10**7)}"
+    for g in range(40):
+        shared = [word() for _ in range(200)]
+        rows += [(2 * g + k, " ".join(shared + [word() for _ in range(15)] * 300)) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classify(docs).collect()}
+    want = plain_classes(rows)
+    assert len(set(want)) == 40
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(40)) >= 39 and len(set(got.values())) >= 40
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.classify(clashing(odd_docs(spark))).collect()
     assert len(got) == len(odd_rows()) and sum(r.kept for r in got if r.doc_id == 8) == 1
@@ -228,16 +270,87 @@ def test_broken_pages_end(html):
     assert isinstance(html_text.main_text(html), str)
 
 
-def test_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    got = {r.page_id: r for r in html_text.extract(clashing(pages)).collect()}
+def plain_blocks(page):
+    """Labels by loops: each ambiguous block looks outwards, step by step, for decided ones of its own part."""
+    blocks = html_text.blocks_of(page)
+    density = html_text.page_density(blocks)
+    first = [html_text.first_pass(b, density) for b in blocks]
+    out = []
+    for i, b in enumerate(blocks):
+        if first[i] in ("good", "bad"):
+            out.append(first[i])
+            continue
+        told = [(abs(k - i), first[k], k > i) for k, o in enumerate(blocks) if o.main == b.main and not o.bad and first[k] in ("good", "bad")]
+        nearest = [min((t for t in told if t[2] == side), default=None) for side in (False, True)]
+        sides = {t[1] for t in nearest if t}
+        linked = 2 * b.link > len(b.text)
+        if b.main:
+            out.append("good" if "good" in sides or not sides and not linked else "bad")
+        elif not sides:
+            out.append("bad" if linked or "good" in first else "good")
+        elif len(sides) == 1:
+            out.append(*sides)
+        elif nearest[0][0] != nearest[1][0]:
+            out.append(min(nearest)[1])
+        else:
+            out.append("good" if first[i] == "near" or b.heading and nearest[1][1] == "good" else "bad")
+    return [b.text for b, label in zip(blocks, out) if label == "good"]
+
+
+def pages_and_articles(spark):
     import re
     from html import unescape
 
-    for r in pages.collect():
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
         want = [t for part in re.split(r"</?(?:p|h1)>", inner) if (t := " ".join(unescape(re.sub(r"<[^>]*>?", " " if part.startswith("<br") else "", part)).split()))]
-        assert got[r.page_id].text == "\n".join(want) and got[r.page_id].n_chars == len(got[r.page_id].text)
+        yield r.page_id, r.html, want
+
+
+def without_article(html):
+    return html.replace("<article", "<div").replace("</article", "</div")
+
+
+def test_blocks_decide_without_article_tags(spark, monkeypatch):
+    """With plain div tags for the article, density, links, length and neighbours find its lines, and nothing else; and they do decide."""
+    pages = [(without_article(html), want) for _, html, want in pages_and_articles(spark)]
+    got = [html_text.main_text(html).split("\n") for html, _ in pages]
+    assert got == [plain_blocks(html) for html, _ in pages]
+    lines = sum(len(want) for _, want in pages)
+    assert sum(len(set(g) & set(w)) for g, (_, w) in zip(got, pages)) >= 0.95 * sum(len(set(w)) for _, w in pages)
+    assert sum(len(set(g) - set(w)) for g, (_, w) in zip(got, pages)) == 0 < lines
+    monkeypatch.setattr(html_text, "POOR", 0.0)
+    assert sum(html_text.main_text(html).split("\n") != g for (html, _), g in zip(pages, got)) > 100
+
+
+def test_second_pass_against_loops():
+    r = random.Random(11)
+    english = "It was the best of the times for all of us and we were in the house with them"
+    poor = "Lorem keyword stuffing banana printer cartridge cheap brand"
+    link = '<a href="/x">' + english[:40] + "</a>"
+    for _ in range(400):
+        parts = []
+        for _ in range(r.randint(1, 14)):
+            body = r.choice([english, english * 4, poor, poor * 3, link, link * 3, "Short one", "Short " + link, UNLISTED["ru"], "© 2020 Site"])
+            tag = r.choice(["p", "div", "h2", "li", "nav", "article", "section"])
+            parts.append(f"<{tag}>{body}</{tag}>" if tag != "article" else f"<article><p>{body}</p><p>{r.choice([english, poor, 'Short'])}</p></article>")
+        html = "<html><body>" + "".join(parts) + "</body></html>"
+        assert html_text.main_text(html) == "\n".join(plain_blocks(html)), html
+
+
+def test_poor_blocks_and_their_neighbours():
+    english = "It was the best of the times for all of us and we were in the house with them. " * 4
+    poor = "Lorem keyword stuffing banana printer cartridge cheap brand " * 3
+    page = lambda *parts: "<html><body><nav><a href='/'>Home</a></nav>" + "".join(f"<div>{p}</div>" for p in parts) + "</body></html>"
+    assert html_text.main_text(page(english, "Short.", english, "Odd one", poor, "Last", poor)).split("\n") == [english.strip(), "Short.", english.strip()]
+    assert html_text.main_text(page("Only", "short lines")).split("\n") == ["Only", "short lines"]
+    assert html_text.main_text(page("Menu", "<a href='/a'>One</a> <a href='/b'>Two</a>")) == ""
+
+
+def test_pages(spark):
+    got = {r.page_id: r for r in html_text.extract(clashing(spark.read.parquet(f"{SF}/pages.parquet"))).collect()}
+    for page_id, _, want in pages_and_articles(spark):
+        assert got[page_id].text == "\n".join(want) and got[page_id].n_chars == len(got[page_id].text)
     nothing = spark.createDataFrame([(1, None, None), (None, "u", "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html_text.extract(nothing).collect()] == [("", 0), ("", 0)]
 

@@ -54,6 +54,36 @@ def test_counts_of_characters_that_unicode_versions_class_differently(library):
         assert counter.count(text) == len(ids(library, BYTE, text)), hex(c)
 
 
+def test_encoder_equals_library_on_all_documents(library):
+    """Both ways give the same ids for every whole text of a table."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    tok = WordEncoder(WORD)
+    assert tok.pattern is not None
+    fast = 0
+    for text in texts:
+        fast += bool(text) and not tok.other.search(text)
+        assert np.frombuffer(tok.encode(text), "<u4").tolist() == ids(library, WORD, text)
+    assert fast > 900
+
+
+def test_encoder_takes_other_files_by_the_library(library, tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    for change in ({"normalizer": None}, {"pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1]}, {"post_processor": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        assert WordEncoder(str(path)).pattern is None
+    assert WordEncoder(BYTE).pattern is None
+
+
+def test_shards_follow_the_tokens():
+    n = token_codes.shards_for
+    assert n(0, 200) == n(10, 200) == 1 and n(10**9, 200) == 200 and n(10**14, 200) == -(-(10**14) // token_codes.SHARD_TOKENS)
+
+
 def test_codes_round_trip_and_access():
     rng = np.random.default_rng(5)
     for n in (0, 1, 511, 512, 513, 5000):
