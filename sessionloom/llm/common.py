@@ -22,6 +22,19 @@ BITS_PER_KEY = 16
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 15, 1 << 28
 #: Keys that hold more than 1 / HEAVY_KEYS of the rows are heavy: there are at most that many, whatever the input.
 HEAVY_KEYS = 1000
+#: Bytes of a batch that goes to a Python worker. By rows alone, 10,000 whole texts would go at once.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES, with the worker's free memory given back when its task ends. The session's limit is
+    lowered to that where it is higher: it bounds what a batch takes in the executor and in the worker."""
+    spark = df.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING))
+    if size > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def trimmed(run):
@@ -30,21 +43,26 @@ def trimmed(run):
 
     @wraps(run)
     def task(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Returns free memory to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -13,8 +13,10 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces that a task remembers before it starts anew: bounds its memory to about 45 MB.
-MAX_PIECES = 200_000
+from .common import give_back
+
+#: Pieces that a task remembers before it starts anew: bounds its memory to about 15 MB.
+MAX_PIECES = 65_536
 #: Longer pieces are encoded each time.
 MAX_PIECE_CHARS = 64
 
@@ -93,6 +95,8 @@ class WordEncoder:
         self.pieces = _Pieces(self.tokenizer)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+        give_back()
         self.pattern = plain_pattern(spec)
         #: Texts with a special string, or with the letter whose lower case is two characters, are no plain ones.
         self.other = re.compile("|".join(["\u0130", *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import arrow_map
 
 #: Frequent function words.
 STOP_WORDS = {
@@ -331,7 +331,7 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages(page_id, url, html). No exchange."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(trimmed(_extract), "page_id long, url string, text string, n_chars long")
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import packed, trimmed
+from .common import arrow_map, packed
 
 #: Labelled documents per language that are learned from, about, where there are more; and ranks in a profile.
 MAX_DOCS = 1500
@@ -91,9 +91,10 @@ def held_out(doc_id: Column) -> Column:
 def _partial(batches, ranks: int):
     """lang, gram, n of a task's rows, in parts of bounded size."""
     for batch in batches:
-        for lang in sorted(set(batch.column(0).to_pylist())):
-            texts = [t for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own == lang and t]
-            parts = [grams(t) for t in texts]
+        langs = batch.column(0).to_pylist()
+        for lang in sorted(set(langs)):
+            texts = (batch.column(1)[i].as_py() for i, own in enumerate(langs) if own == lang)
+            parts = [grams(t) for t in texts if t]
             if not parts:
                 continue
             codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
@@ -112,7 +113,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, ranks: int = RANKS) -> Prof
     below = {lang: min((1 << 63) - 1, -(1 << 63) + (max_docs << 64) // n) for lang, n in sizes.items()}
     limits = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
     texts = labelled.where(F.col("at") <= limits[F.col("lang")]).select("lang", "text")
-    counts = texts.mapInArrow(trimmed(lambda b: _partial(b, ranks)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = arrow_map(texts, lambda b: _partial(b, ranks), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # codes are unsigned: those with the highest bit come last
     best = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
     rows = counts.withColumn("at", F.row_number().over(best)).where(F.col("at") <= ranks).collect()
@@ -131,19 +132,19 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([s for s, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(trimmed(predicted), "doc_id long, held_out boolean, lang_pred string, score double")
+    return arrow_map(rows, predicted, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that have a language: not `und`, and a score of min_score at least. All columns stay. No exchange."""
-    profiles, rows = learn(docs), packed(docs, text=F.col("text"))
+    profiles, rows, at = learn(docs), packed(docs), docs.columns.index("text")
 
     def kept(batches):
         for batch in batches:
-            said = [profiles.predict(t.as_py()) for t in batch.column(1)]
-            yield batch.select(["row"]).filter(pa.array([lang != UND and score >= min_score for lang, score in said], pa.bool_()))
+            said = [profiles.predict(t.as_py()) for t in batch.column(0).field(at)]
+            yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in said], pa.bool_()))
 
-    return rows.mapInArrow(trimmed(kept), rows.select("row").schema).select("row.*")
+    return arrow_map(rows, kept, rows.schema).select("row.*")
 
 
 def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, SPACES, Membership, join_spread, keep_decided, materialise, packed, scratch, trimmed
+from .common import SPACE, SPACES, Membership, arrow_map, join_spread, keep_decided, materialise, packed, scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -247,7 +247,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     with scratch(spark) as made:
         normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("normal"))
         hashed = normal.select("doc_id", F.unhex(F.sha2("normal", 256)).alias("digest"), _word_hashes(F.col("normal")).alias("words"))
-        banded = hashed.mapInArrow(trimmed(lambda b: _banded(b, bands, rows)), "doc_id long, digest binary, bands array<long>")
+        banded = arrow_map(hashed, lambda b: _banded(b, bands, rows), "doc_id long, digest binary, bands array<long>")
         table = materialise(banded.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "digest", "bands"), "near-bands")
 
         # texts with the same words: one node, whose keys any of its rows can give
@@ -263,7 +263,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         texts = Membership(involved, "digest").maybe(texts, "digest")
         own = texts.join(involved, (texts["digest"] == involved["digest"]) & texts["doc_id"].eqNullSafe(involved["first_id"])).select("node", "normal")
         once = own.groupBy("node").agg(F.min("normal").alias("normal"))
-        sets = materialise(once.select("node", _word_hashes(F.col("normal")).alias("words")).mapInArrow(trimmed(_sets), "node long, set array<long>"), "near-sets")
+        sets = materialise(arrow_map(once.select("node", _word_hashes(F.col("normal")).alias("words")), _sets, "node long, set array<long>"), "near-sets")
 
         labels = _components(members, nodes, sets, threshold)
         found = nodes.select("node", "digest", "first_id", "copies")

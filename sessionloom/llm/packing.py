@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, trimmed
+from .common import arrow_map, materialise
 from .encoding import drop_encoders, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,7 +43,7 @@ def _cut(batches, path: str, end_id: int, capacity: int):
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32. No exchange."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(lambda b: _cut(b, tokenizer, end_id, capacity)), PIECES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda b: _cut(b, tokenizer, end_id, capacity), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -166,7 +166,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("_own", own).join(before, ["length", "_salt"])
     rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_own")).alias("rank"))
-    return rows.mapInArrow(lambda b: _place(b, tables), PLACED)
+    return arrow_map(rows, lambda b: _place(b, tables), PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

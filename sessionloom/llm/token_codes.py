@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, scratch, trimmed
+from .common import arrow_map, fresh_path, materialise, scratch
 from .encoding import drop_encoders, encoder
 
 MAGIC = b"DAC1"
@@ -151,11 +151,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partit
     spark = docs.sparkSession
     with scratch(spark):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        rows = materialise(rows.mapInArrow(trimmed(lambda b: _encoded(b, tokenizer, end_id)), "doc_id long, n long, ids binary"), "token-ids")
+        rows = materialise(arrow_map(rows, lambda b: _encoded(b, tokenizer, end_id), "doc_id long, n long, ids binary"), "token-ids")
         tokens = rows.agg(F.sum("n")).first()[0] or 0
         n = partitions or shards_for(tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
         ordered = rows.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-        ordered.mapInArrow(trimmed(_segments), SEGMENTS).write.option("compression", "none").parquet(path)
+        arrow_map(ordered, _segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
@@ -178,7 +178,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files."""
     parts = spark.read.schema(SEGMENTS).parquet(path).join(F.broadcast(_shards(spark, path)), "shard")
     rows = parts.select((F.col("base") + F.col("shard_start")).alias("start"), "doc_ids", "ends", "payload")
-    return rows.mapInArrow(trimmed(_documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(rows, _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
@@ -198,7 +198,7 @@ def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> DataFra
     parts = spark.read.schema(SEGMENTS).parquet(path).join(F.broadcast(_shards(spark, path)), "shard")
     if len(wanted):
         parts = parts.where((start <= int(wanted[-1])) & (start + F.col("n_tokens") > int(wanted[0])))
-    return parts.select(start.alias("start"), "n_tokens", "payload").mapInArrow(hits, "position long, id long")
+    return arrow_map(parts.select(start.alias("start"), "n_tokens", "payload"), hits, "position long, id long")
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

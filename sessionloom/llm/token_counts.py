@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .encoding import byte_alphabet
 
 #: Remembered pieces per worker, and the longest piece that is.
@@ -123,7 +124,7 @@ def _count(batches, path: str, limit: int):
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for docs(doc_id, text). No exchange."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _count(b, tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda b: _count(b, tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
