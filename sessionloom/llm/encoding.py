@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import give_back
 
-#: Pieces that a task remembers before it starts anew: bounds its memory to about 15 MB.
-MAX_PIECES = 65_536
+#: Pieces that a task remembers before it starts anew: bounds its memory to about 30 MB.
+MAX_PIECES = 131_072
 #: Longer pieces are encoded each time.
 MAX_PIECE_CHARS = 64
 
