@@ -40,9 +40,10 @@ class Scratch(list):
         super().__init__()
         self.kept: list[str] = []
 
-    def keep(self) -> None:
-        """The table written last outlives the block."""
-        self.kept.append(self.pop())
+    def keep(self, table: DataFrame) -> None:
+        """This table outlives the block."""
+        self.remove(table.scratch_path)
+        self.kept.append(table.scratch_path)
 
 
 _scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
@@ -72,7 +73,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     own = _scratch.get()
     if own is not None:
         own.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialise() before its block ends."""
+    remove(table.sparkSession, table.scratch_path)
+    own = _scratch.get()
+    if own is not None and table.scratch_path in own:
+        own.remove(table.scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
