@@ -9,9 +9,9 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import Scratch, fresh_path, materialise, remove, scratch, shared_dir
+from ..sources.io import Scratch, discard, fresh_path, materialise, remove, scratch, shared_dir
 
-__all__ = ["Scratch", "fresh_path", "materialise", "remove", "scratch", "shared_dir"]
+__all__ = ["Scratch", "discard", "fresh_path", "materialise", "remove", "scratch", "shared_dir"]
 
 #: Java regex of the white space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -19,13 +19,15 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import SPACE, SPACES, Membership, arrow_map, join_spread, keep_decided, materialise, packed, scratch
+from .common import SPACE, SPACES, Membership, arrow_map, discard, join_spread, keep_decided, materialise, packed, scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -152,37 +154,42 @@ def _word_hashes(normal: Column) -> Column:
 
 
 def classes_of(edges: DataFrame) -> DataFrame:
-    """node, label for edges(a, b): label is the smallest node of the connected component. Nodes without edges are absent.
+    """node, label for edges(a, b): label is the smallest node of the connected component; a table on disk. Nodes without edges are absent.
 
     Each step hooks every node to its smallest neighbour, follows the hooks to their roots and contracts: the nodes that still
     have edges at least halve.
     """
-    labels = None
-    edges = materialise(edges.where("a <> b"), "cc-edges")
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "node"), "cc-parents")
-        while True:
-            up = parent.select(F.col("node").alias("_n"), F.col("p").alias("up"))
-            jumped = materialise(parent.join(up, parent["p"] == up["_n"]).select("node", F.col("up").alias("p"), (F.col("up") != F.col("p")).alias("moved")), "cc-parents")
-            parent = jumped.select("node", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        root = parent.select(F.col("node").alias("_n"), F.col("p").alias("root"))
-        new = root.select(F.col("_n").alias("node"), F.col("root").alias("label"))
-        if labels is not None:
-            old = labels.join(root, labels["label"] == root["_n"], "left").select("node", F.coalesce("root", "label").alias("label"))
-            new = old.unionByName(new.join(labels, "node", "left_anti"))
-        labels = materialise(new, "cc-labels")
-        other = root.select(F.col("_n").alias("_m"), F.col("root").alias("root_b"))
-        edges = materialise(edges.join(root, edges["a"] == root["_n"]).join(other, edges["b"] == other["_m"]).select(F.col("root").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct(), "cc-edges")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    with scratch(edges.sparkSession) as made:
+        labels = None
+        edges = materialise(edges.where("a <> b"), "cc-edges")
+        while not edges.isEmpty():
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            parent = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).withColumnRenamed("a", "node"), "cc-parents")
+            while True:
+                up = parent.select(F.col("node").alias("_n"), F.col("p").alias("up"))
+                jumped = materialise(parent.join(up, parent["p"] == up["_n"]).select("node", F.col("up").alias("p"), (F.col("up") != F.col("p")).alias("moved")), "cc-parents")
+                parent = jumped.select("node", "p")
+                if jumped.where("moved").isEmpty():
+                    break
+            root = parent.select(F.col("node").alias("_n"), F.col("p").alias("root"))
+            new = root.select(F.col("_n").alias("node"), F.col("root").alias("label"))
+            if labels is not None:
+                old = labels.join(root, labels["label"] == root["_n"], "left").select("node", F.coalesce("root", "label").alias("label"))
+                new = old.unionByName(new.join(labels, "node", "left_anti"))
+            labels = materialise(new, "cc-labels")
+            other = root.select(F.col("_n").alias("_m"), F.col("root").alias("root_b"))
+            edges = materialise(edges.join(root, edges["a"] == root["_n"]).join(other, edges["b"] == other["_m"]).select(F.col("root").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct(), "cc-edges")
+        if labels is None:
+            labels = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "cc-labels")
+        made.keep(labels)
+        return labels
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    """The pairs (a, b), a table on disk, whose sets are similar enough. Bitmaps keep the sets of other nodes out of the exchanges."""
+    number = pairs.count()
+    left = Membership(pairs, "a", number).maybe(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    right = Membership(pairs, "b", number).maybe(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     sizes = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
     # sets of too different sizes can't be similar: no need to intersect
     met = pairs.join(left, "a").join(right, "b").where(sizes[0] >= threshold * sizes[1])
@@ -191,8 +198,10 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _shared(state: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, r: how many of a node's shingles some node of another label has too. No overlap with another label exceeds it."""
-    owned = state.select("node", "label").distinct().join(sets, "node").select("node", "label", F.explode("set").alias("shingle"))
+    """node, r: how many of a node's shingles some node of another label has too. No overlap with another label exceeds it. Half of each hash
+    is enough: where halves agree by chance, r is only larger."""
+    halves = F.explode(F.transform("set", lambda x: F.shiftright(x, 32).cast("int")))
+    owned = state.select("node", "label").distinct().join(sets, "node").select("node", "label", halves.alias("shingle"))
     common = owned.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
     return owned.join(common, "shingle").groupBy("node").agg(F.count("*").cast("int").alias("r"))
 
@@ -203,42 +212,59 @@ def _can_link(r: Column, n: Column, r2: Column, n2: Column, threshold: float) ->
     return most >= threshold * (n + n2 - most)
 
 
+def _opened(state: DataFrame, threshold: float) -> DataFrame:
+    """The rows of state whose bucket has nodes of several labels, one of which the row's node may link to; a table on disk."""
+    open_keys = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
+    able = F.col("r") >= threshold * (F.col("n") + F.greatest(F.col("least") - F.col("r"), F.lit(0)))
+    return materialise(state.join(open_keys, "key").where(able).drop("least"), "near-state")
+
+
 def _components(members: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """node, label after all rounds, for members(key, node) of buckets with two nodes or more.
 
     Leaders come in the order of how crowded their buckets are, so that the centre of a group of copies goes first. What
     is compared, besides: only nodes of different labels; only in the smallest bucket that both share; and only if the numbers of shingles
-    that each shares with other labels allow a link at all. These conditions drop no link.
+    that each shares with other labels allow a link at all. These conditions drop no link. What a round wrote goes when the next state stands.
     """
+    spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("members"))
     score = members.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("score"))
     known = sets.select("node", F.size("set").alias("n")).join(score, "node").join(nodes.select("node", "bands"), "node")
-    state = members.join(known, "node").withColumns({"r": F.col("n"), "label": F.col("node")})
+    state = _opened(members.join(known, "node").withColumns({"r": F.col("n"), "label": F.col("node")}), threshold)
     labels, links, leaders, turn = None, None, 1, 0
-    while True:
-        open_keys = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
-        state = state.join(open_keys, "key").where(F.col("r") >= threshold * (F.col("n") + F.greatest(F.col("least") - F.col("r"), F.lit(0)))).drop("least")
-        state = materialise(state, "near-state")
-        if state.isEmpty():
-            return labels
-        if turn in (1, 2):
-            state = materialise(state.drop("r").join(_shared(state, sets), "node").select(state.columns), "near-state")
-        order = Window.partitionBy("key").orderBy(F.desc("score"), "node")
-        lead = state.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= leaders)
-        lead = materialise(lead.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "r", "bands"))), "near-leaders")
-        able = (F.col("label") != F.col("label_2")) & _can_link(F.col("r"), F.col("n"), F.col("r_2"), F.col("n_2"), threshold)
-        first = F.array_min(F.array_intersect("bands", "bands_2")) == F.col("m.key")
-        met = state.alias("m").join(lead, (F.col("m.key") == lead["key"]) & able & first)
-        pairs = materialise(met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct(), "near-pairs")
-        new = materialise(_links(pairs, sets, threshold), "near-links")
-        # leaders have met every member of their bucket
-        rest = state.join(lead.select("key", F.col("node_2").alias("node")), ["key", "node"], "left_anti")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = classes_of(links)
-            rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select(state.columns)
-        state, turn = rest.select(state.columns), turn + 1
+    while not state.isEmpty():
+        with scratch(spark) as made:
+            own = state
+            if turn in (1, 2):
+                own = materialise(state.drop("r").join(_shared(state, sets), "node").select(state.columns), "near-state")
+            order = Window.partitionBy("key").orderBy(F.desc("score"), "node")
+            lead = own.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= leaders)
+            lead = materialise(lead.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "r", "bands"))), "near-leaders")
+            able = (F.col("label") != F.col("label_2")) & _can_link(F.col("r"), F.col("n"), F.col("r_2"), F.col("n_2"), threshold)
+            first = F.array_min(F.array_intersect("bands", "bands_2")) == F.col("m.key")
+            met = own.alias("m").join(lead, (F.col("m.key") == lead["key"]) & able & first)
+            pairs = materialise(met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct(), "near-pairs")
+            new = materialise(_links(pairs, sets, threshold), "near-links")
+            # leaders have met every member of their bucket
+            rest = own.join(lead.select("key", F.col("node_2").alias("node")), ["key", "node"], "left_anti")
+            before = labels
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                labels = classes_of(links)
+                rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                made.keep(new)
+                made.keep(labels)
+            following = _opened(rest.select(state.columns), threshold)
+            made.keep(following)
+        if before is not None and before is not labels:
+            discard(before)
+        discard(state)
+        state, turn = following, turn + 1
         leaders = leaders * GROWTH if turn > 1 else 1
+        # plans of the round are garbage now: once they are collected, Spark's cleaner deletes their shuffle files
+        gc.collect()
+        spark._jvm.System.gc()
+    return labels
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -276,7 +302,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
         classes = materialise(classes, "near-classes")
         # rows of one text are spread too: a text with a large share of the rows meets its class where its rows lie
         placed = materialise(join_spread(table.select("rid", "doc_id", "digest"), classes, "digest", "copies"), "near-placed")
-        made.keep()
+        made.keep(placed)
     first_row = placed.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("first_node").agg(F.min("rid").alias("first_rid"))
     # blank texts are alone
     blank = F.col("digest") == F.unhex(F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"))
