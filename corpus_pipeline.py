@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         with scratch(spark) as made:
             docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-            made.keep()
+            made.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
