@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sessions import TYPES, count_if, history, positives
@@ -61,6 +61,26 @@ def build_co_visitation(events: DataFrame, min_count: int = 2, top_n: int = 100,
     return covis_neighbours(covis_pairs(events, max_gap), min_count, top_n)
 
 
+def write_partial_pairs(events: DataFrame, path: str, buckets: int, only: list[int] | None = None, max_gap: int = 50) -> None:
+    """Pair counts of each bucket of sessions (of those in `only`, to go on after a stop), a folder each under path. Sums of all buckets are the whole counts."""
+    for b in range(buckets) if only is None else only:
+        mine = events.where(F.pmod(F.xxhash64("session_code"), F.lit(buckets)) == b)
+        covis_pairs(mine, max_gap).write.mode("overwrite").parquet(f"{path}/bucket={b}")
+
+
+def merge_partial_pairs(spark: SparkSession, path: str, buckets: int, out: str, parts: int = 16, start: int = 0, min_count: int = 2, top_n: int = 100) -> DataFrame:
+    """The neighbours from all buckets' counts, merged in `parts` shares of the items from share `start` on, a folder each under out. A missing bucket is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    missing = [b for b in range(buckets) if not (p := folder(f"{path}/bucket={b}/_SUCCESS")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    if missing:
+        raise FileNotFoundError(f"no pair counts of buckets {missing} in {path}")
+    partial = spark.read.parquet(*(f"{path}/bucket={b}" for b in range(buckets)))
+    for k in range(start, parts):
+        mine = partial.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).groupBy("i", "j").agg(F.sum("c").alias("c"))
+        covis_neighbours(mine, min_count, top_n).write.mode("overwrite").parquet(f"{out}/part={k}")
+    return spark.read.parquet(*(f"{out}/part={k}" for k in range(parts)))
+
+
 def covis_scores(hist: DataFrame, neighbours: DataFrame, top_n: int = 100) -> DataFrame:
     """session_code, item, covis_score, covis_max: one step from distinct history items; history stays in."""
     reached = hist.join(neighbours, hist["item"] == neighbours["i"]).groupBy("session_code", F.col("j").alias("item")).agg(F.sum("weight").alias("covis_score"), F.max("weight").alias("covis_max"))

@@ -20,15 +20,18 @@ def hash_bucket(unit: Column, salt: str = "", buckets: int = 1000) -> Column:
     return (F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % buckets).cast("int")
 
 
-def assign_arm(unit: Column, fraction: float = 0.5, salt: str = "", buckets: int = 1000) -> Column:
-    return F.when(hash_bucket(unit, salt, buckets) < fraction * buckets, "treatment").otherwise("control")
+def assign_arm(unit: Column, fraction: float = 0.5, salt: str = "", buckets: int = 1000, arms: tuple[str, str] = ("control", "treatment")) -> Column:
+    """The second arm for the given fraction of units, the first for the rest."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("the fraction lies between 0 and 1")
+    return F.when(hash_bucket(unit, salt, buckets) < fraction * buckets, arms[1]).otherwise(arms[0])
 
 
 def required_sample_size(baseline: float, mde: float, alpha: float = 0.05, power: float = 0.8) -> int:
     """Units per arm for a two-sided two-proportion test of a relative effect."""
     target = baseline * (1 + mde)
-    if not 0 < baseline < 1 or mde <= 0 or not 0 < alpha < 1 or not 0 < power < 1 or not 0 < target < 1:
-        raise ValueError("rates, alpha and power lie between 0 and 1, and the effect is positive")
+    if not 0 < baseline < 1 or mde <= 0 or not 0 < alpha < 0.5 or not 0 < power < 1 or not 0 < target < 1:
+        raise ValueError("rates and power lie between 0 and 1, alpha below a half, and the effect is positive")
     z = NormalDist().inv_cdf
     pooled = (baseline + target) / 2
     spread = z(1 - alpha / 2) * math.sqrt(2 * pooled * (1 - pooled)) + z(power) * math.sqrt(baseline * (1 - baseline) + target * (1 - target))
@@ -63,6 +66,8 @@ def lift(rows: DataFrame, y: str) -> DataFrame:
 
 def cuped(rows: DataFrame, y: str, x: str) -> DataFrame:
     """rows with y_adj = y - theta (x - mean of x); theta from all arms together; a constant x changes nothing."""
+    if len(rows.select(y).limit(2).collect()) < 2:
+        raise ValueError("the adjustment needs two units")
     var = F.var_pop(x)
     theta = rows.agg(F.when(var > 0, F.covar_pop(y, x) / var).otherwise(0.0).alias("_theta"), F.avg(x).alias("_mean"))
     return rows.crossJoin(F.broadcast(theta)).withColumn("y_adj", F.col(y) - F.col("_theta") * (F.col(x) - F.col("_mean"))).drop("_theta", "_mean")
@@ -75,7 +80,7 @@ def arm_summary(rows: DataFrame, y: str) -> DataFrame:
 
 def mann_whitney_u(rows: DataFrame, y: str) -> DataFrame:
     """One row: n_control, n_treatment, u (of treatment), ties (sum of t^3 - t). Ranks come from counts per distinct value."""
-    per_value = rows.groupBy(F.col(y).alias("v")).agg(F.count("*").alias("n"), F.count(F.when(F.col("arm") == "treatment", 1)).alias("t"))
+    per_value = rows.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("v")).agg(F.count("*").alias("n"), F.count(F.when(F.col("arm") == "treatment", 1)).alias("t"))
     upto = running_sums(per_value, [], "v", {"n": "upto"})
     ranked = upto.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("t") * F.col("rank")).alias("r"), F.sum("t").alias("n_treatment"), F.sum(F.col("n") - F.col("t")).alias("n_control"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
@@ -112,6 +117,11 @@ def ab_test(rows: DataFrame, y: str, alpha: float = 0.05, normality_sample: int
     return means | {"test": name, "statistic": statistic, "p_value": p, "reject_null": p < alpha, "normality": normal}
 
 
+def ab_metrics(rows: DataFrame, metrics: list[str], alpha: float = 0.05) -> dict[str, dict]:
+    """ab_test() of each metric column of rows(arm, ...). Each is tested at alpha on its own."""
+    return {m: ab_test(rows, m, alpha) for m in metrics}
+
+
 def ab_replay(outcomes: DataFrame, control: str, challenger: str, covariate: str = "n_events", salt: str = "replay", alpha: float = 0.05, mde: float = 0.05, p99_ms: float | None = None, budget_ms: float = 50.0) -> dict:
     """Each arm reads its own system's column: control rows `control`, treatment rows `challenger`. Decision: ship, hold or inconclusive."""
     arm = assign_arm(F.col("session_code"), salt=salt)

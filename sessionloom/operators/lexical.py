@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import materialise
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", -1), lambda t: t != "")
@@ -18,8 +20,11 @@ class BM25:
             raise ValueError("k1 must be positive, b between 0 and 1")
         self.k1, self.b = k1, b
         sized = docs.select("doc_id", "tokens", F.size("tokens").alias("dl"))
-        self.stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        self.tf = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        # texts are cut once: all that follows reads the terms
+        tf = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        self.tf = materialise(tf, "bm25-terms")
+        terms = self.tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_terms"))
+        self.stats = docs.agg(F.count("*").alias("n_docs")).crossJoin(terms).select("n_docs", F.try_divide(F.col("_terms"), F.col("n_docs")).alias("avgdl"))
         df = self.tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats))
         n, d = F.col("n_docs"), F.col("df")
         self.df = df.select("term", "df", F.ln((n - d + 0.5) / (d + 0.5) + 1).alias("idf"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import materialise
@@ -10,6 +10,8 @@ from .candidates import FEATURES
 
 #: Gains of the labels 0 to 3.
 GAINS = (0, 1, 3, 7)
+#: Trees after which the candidates' scores are written again, so that a round passes over this many at most.
+RESCORE = 8
 
 
 class Ranker:
@@ -30,40 +32,46 @@ class Ranker:
         from pyspark.ml.functions import array_to_vector
         from pyspark.ml.regression import DecisionTreeRegressor
 
-        groups = materialise(query_groups(frame).where(F.array_min("labels") < F.array_max("labels")), "ltr-groups")
+        groups = materialise(_with_scores(query_groups(frame).where(F.array_min("labels") < F.array_max("labels"))), "ltr-groups")
         if groups.isEmpty():
             return cls([])  # nothing to tell apart
-        held = materialise(query_groups(valid), "ltr-valid") if valid is not None else None
+        held = materialise(_with_scores(query_groups(valid)), "ltr-valid") if valid is not None else None
         learner = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="curvature", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
         trees: list[tuple[float, dict]] = []
-        best, best_at = -1.0, 0
+        best, best_at, scored = -1.0, 0, 0
         for _ in range(rounds):
-            rows = groups.mapInPandas(_steps(list(trees)), "x array<double>, target double, curvature double")
+            if len(trees) - scored >= RESCORE:
+                groups = materialise(_rescored(groups, trees[scored:]), "ltr-groups")
+                held = materialise(_rescored(held, trees[scored:]), "ltr-valid") if held is not None else None
+                scored = len(trees)
+            rows = groups.mapInPandas(_steps(trees[scored:]), "x array<double>, target double, curvature double")
             # a fit passes over its rows several times; lost blocks come again from the groups' table
             rows = rows.select(array_to_vector("x").alias("features"), "target", "curvature").persist()
             model = learner.fit(rows)
             rows.unpersist()
             trees.append((rate, _node(model._call_java("rootNode"))))
             if held is not None:
-                ndcg = held.mapInPandas(_quality(list(trees)), "ndcg double").agg(F.avg("ndcg")).first()[0] or 0.0
+                ndcg = held.mapInPandas(_quality(trees[scored:]), "ndcg double").agg(F.avg("ndcg")).first()[0] or 0.0
                 if ndcg > best:
                     best, best_at = ndcg, len(trees)
                 elif len(trees) - best_at >= patience:
                     break
         return cls(trees[:best_at] if held is not None else trees)
 
-    def score_column(self) -> Column:
-        """The whole model as one expression: scoring stays in generated code, with no vectors."""
+    def score(self, frame: DataFrame) -> DataFrame:
+        """frame with the score: Arrow batches through all trees, a vector operation per node."""
+        import numpy as np
+        import pandas as pd
 
-        def expr(n: dict) -> Column:
-            if "value" in n:
-                return F.lit(float(n["value"]))
-            return F.when(F.col(FEATURES[n["feature"]]) <= n["threshold"], expr(n["left"])).otherwise(expr(n["right"]))
+        trees = self.trees
 
-        return sum((F.lit(w) * expr(root) for w, root in self.trees), F.lit(0.0))
+        def scored(features):
+            x = features.to_numpy(float)
+            return pd.Series(sum((w * tree_values(t, x) for w, t in trees), np.zeros(len(x))))
 
-    def score(self, frame: DataFrame) -> DataFrame:
-        return frame.withColumn("score", self.score_column())
+        scored.__annotations__ = {"features": pd.DataFrame, "return": pd.Series}
+        columns = F.struct(*(F.col(f).cast("double").alias(f) for f in FEATURES))
+        return frame.withColumn("score", F.pandas_udf(scored, "double")(columns))
 
     def importance(self, spark) -> DataFrame:
         """feature, importance: the total gain of its splits."""
@@ -89,18 +97,29 @@ class Ranker:
         def explained(parts):
             for pdf in parts:
                 x = pdf[features].to_numpy(float)
-                phi = [np.zeros(len(features)) for _ in range(len(x))]
                 base = sum(w * expected(t) for w, t in trees)
-                score = np.zeros(len(x))
-                for w, t in trees:
-                    for i, row in enumerate(x):
-                        phi[i] += w * tree_shap(t, row, len(features))
-                        score[i] += w * predict(t, row)
-                yield pd.DataFrame({"session_code": pdf["session_code"], "item": pdf["item"], "base": base, "score": score, "contributions": phi})
+                score = sum((w * tree_values(t, x) for w, t in trees), np.zeros(len(x)))
+                phi = sum((w * tree_shap(t, x, len(features)) for w, t in trees), np.zeros(x.shape))
+                yield pd.DataFrame({"session_code": pdf["session_code"], "item": pdf["item"], "base": base, "score": score, "contributions": list(phi)})
 
         return frame.select("session_code", "item", *FEATURES).mapInPandas(explained, "session_code long, item string, base double, score double, contributions array<double>")
 
 
+def _with_scores(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("scores", F.transform("labels", lambda _: F.lit(0.0)))
+
+
+def _rescored(groups: DataFrame, trees) -> DataFrame:
+    """groups with the values of trees added to their scores."""
+
+    def run(parts):
+        for pdf in parts:
+            pdf["scores"] = [scores for _, _, scores in _scored(pdf, trees)]
+            yield pdf
+
+    return groups.mapInPandas(run, groups.schema)
+
+
 def _node(j) -> dict:
     n = float(j.impurityStats().rawCount())
     if j.subtreeDepth() == 0:
@@ -163,9 +182,9 @@ def _scored(pdf, trees):
     import numpy as np
 
     table = np.asarray(GAINS, float)
-    for labels, xs in zip(pdf["labels"], pdf["xs"]):
+    for labels, xs, scores in zip(pdf["labels"], pdf["xs"], pdf["scores"]):
         x = np.stack(xs)
-        yield x, table[np.asarray(labels, int)], sum((w * tree_values(t, x) for w, t in trees), np.zeros(len(x)))
+        yield x, table[np.asarray(labels, int)], sum((w * tree_values(t, x) for w, t in trees), np.asarray(scores, float))
 
 
 def _steps(trees):
@@ -192,12 +211,6 @@ def _quality(trees):
     return run
 
 
-def predict(node: dict, x) -> float:
-    while "value" not in node:
-        node = node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]
-    return node["value"]
-
-
 def expected(node: dict) -> float:
     if "value" in node:
         return node["value"]
@@ -205,34 +218,38 @@ def expected(node: dict) -> float:
 
 
 def tree_shap(root: dict, x, size: int):
-    """Exact path-dependent Shapley values of one tree: a leaf is reached by a product over its path's features of a
-    cover share (feature unknown) or a 0/1 (known), so each leaf's values come from the weights of subsets of that path alone."""
+    """Exact path-dependent Shapley values of one tree for the rows of x: a leaf is reached by a product over its path's features of a
+    cover share (feature unknown) or a 0/1 for each row (known), so each leaf's values come from the weights of subsets of that path alone."""
     from math import factorial
 
     import numpy as np
 
-    phi = np.zeros(size)
+    phi = np.zeros((len(x), size))
 
-    def leaf(value: float, path: dict[int, tuple[float, float]]) -> None:
-        """path: feature -> (share if unknown, 1 or 0 if known)."""
+    def leaf(value: float, path: dict) -> None:
+        """path: feature -> (share if unknown, 1 or 0 for each row if known)."""
         names, m = list(path), len(path)
         for f in names:
-            # polynomial in the number of known features among the others
-            weights = np.array([1.0])
+            # polynomials in the number of known features among the others, a row each
+            weights = np.ones((len(x), 1))
             for g in names:
                 if g != f:
                     share, one = path[g]
-                    weights = np.convolve(weights, [share, one])
-            shapley = sum(c * factorial(k) * factorial(m - 1 - k) / factorial(m) for k, c in enumerate(weights))
-            phi[f] += value * (path[f][1] - path[f][0]) * shapley
-
-    def walk(node: dict, path: dict[int, tuple[float, float]]) -> None:
+                    grown = np.zeros((len(x), weights.shape[1] + 1))
+                    grown[:, :-1] += weights * share
+                    grown[:, 1:] += weights * one[:, None]
+                    weights = grown
+            shapley = weights @ np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+            phi[:, f] += value * (path[f][1] - path[f][0]) * shapley
+
+    def walk(node: dict, path: dict) -> None:
         if "value" in node:
             leaf(node["value"], path)
             return
-        f, goes_left = node["feature"], x[node["feature"]] <= node["threshold"]
-        for child, taken in ((node["left"], goes_left), (node["right"], not goes_left)):
-            share, one = path.get(f, (1.0, 1.0))
+        f = node["feature"]
+        goes_left = x[:, f] <= node["threshold"]
+        for child, taken in ((node["left"], goes_left), (node["right"], ~goes_left)):
+            share, one = path.get(f, (1.0, np.ones(len(x))))
             walk(child, path | {f: (share * child["n"] / node["n"], one * taken)})
 
     walk(root, {})

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import materialise
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], buckets: int = 1024) -> DataFrame:
-    """df with sums[name] -> running total of column name over rows of `keys` up to this value of `order`, which is distinct within keys.
 
-    Values are cut into equal ranges; totals of ranges are summed up first (`buckets` rows for each key), then rows within a range.
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """df with sums[name] -> running total of column name over rows of `keys` up to this value of `order`, which is distinct within keys. Keys are not null.
+
+    Rows are dealt to ranges of (keys, order) of about equal numbers of rows, however their values are spread; totals of ranges are summed up first (a row
+    for each range, and for each key within), then rows within a range.
     """
-    ends = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    if keys:
-        ranged = df.alias("d").join(ends.alias("e"), [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]).select("d.*", "_low", "_high")
-    else:
-        ranged = df.crossJoin(F.broadcast(ends))
-    width = F.col("_high") - F.col("_low")
-    at = F.when(width > 0, F.least(F.floor((F.col(order) - F.col("_low")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    ranged = ranged.withColumn("_at", at).drop("_low", "_high")
-    totals = ranged.groupBy(*keys, "_at").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    place = [*keys, order]
+    rows = df.repartitionByRange(*place).withColumn("_at", F.spark_partition_id())
+    rows = materialise(rows, "ranges")
+    totals = rows.groupBy(*keys, "_at").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
     earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_at", *(F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums))
     own = Window.partitionBy(*keys, "_at").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = ranged.join(before, [*keys, "_at"])
+    met = rows.join(before, [*keys, "_at"])
     return met.select(*df.columns, *((F.col(f"_b_{c}") + F.sum(c).over(own)).alias(name) for c, name in sums.items()))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import candidate_sources, covis_scores, feature_frame, popular_pool, rank_by_score
+from .candidates import FEATURES, candidate_sources, covis_scores, feature_frame, popular_pool, rank_by_score
 from .experiments import hash_bucket
 from .ranking import Ranker
 from .sessions import history, sessions_meta
@@ -27,8 +27,9 @@ class Recommender:
         """session_code, item, rank, source: history goes before the cut."""
         frame, meta, hist = self._frame(events)
         scored = self.ranker.score(frame) if self.ranker else frame.withColumn("score", F.col("covis_score"))
+        ranked = rank_by_score(scored, "score", hist, k, exclude="before")
         sources = candidate_sources(meta, covis_scores(hist, self.neighbours), popular_pool(self.pop))
-        return rank_by_score(scored, "score", hist, k, exclude="before").join(sources, ["session_code", "item"], "left").withColumn("source", F.coalesce("source", F.lit("ranker")))
+        return ranked.join(sources, ["session_code", "item"], "left").withColumn("source", F.coalesce("source", F.lit("ranker")))
 
     def search(self, events: DataFrame, vectors: DataFrame, k: int = 20, nprobe: int = 8) -> DataFrame:
         """query_id (session), item_id, score, rank: the mean of known history vectors against the index, history skipped; unknown histories give none."""
@@ -37,10 +38,17 @@ class Recommender:
         return found.select("query_id", "item_id", F.round(cosine_of_distance(F.col("distance")), 6).alias("score"), "rank")
 
     def explain(self, events: DataFrame, items: DataFrame) -> DataFrame:
-        """Contributions for (session_code, item) pairs of items; items that no event names give no row."""
-        frame, _, _ = self._frame(events)
-        known = items.join(self.pop.select("item"), "item", "left_semi")
-        return self.ranker.explain(frame.join(known, ["session_code", "item"], "left_semi"))
+        """Contributions for the pairs of items(session_code, item), as they are served: without the graph, so that both covis features are 0, and rounded to 6
+        digits. An item that no event names is an error."""
+        unknown = items.select("item").distinct().join(self.pop.select("item"), "item", "left_anti").limit(5).collect()
+        if unknown:
+            raise KeyError(f"unknown items: {[r['item'] for r in unknown]}")
+        frame, meta, hist = self._frame(events)
+        own = meta.select("session_code", "n_events", "n_clicks", "n_carts", "n_orders", (F.col("max_ts") - F.col("min_ts")).alias("span_ms"))
+        rows = items.select("session_code", "item").distinct().join(own, "session_code").join(self.pop, "item").join(hist.withColumn("_in", F.lit(1)), ["session_code", "item"], "left")
+        rows = rows.withColumns({"covis_score": F.lit(0.0), "covis_max": F.lit(0.0), "in_history": F.coalesce("_in", F.lit(0))})
+        told = self.ranker.explain(rows.select("session_code", "item", *FEATURES))
+        return told.select("session_code", "item", F.round("base", 6).alias("base"), F.round("score", 6).alias("score"), F.transform("contributions", lambda c: F.round(c, 6)).alias("contributions"))
 
 
 def request_digest(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,27 @@ class IvfIndex:
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(self.model.clusterCenters())]
         self.centres = spark.createDataFrame(centres, "cell int, centre array<double>")
 
+    def save(self, path: str) -> None:
+        """The index as tables under path, for load()."""
+        spark = self.items.sparkSession
+        spark.createDataFrame([(self.nlist, self.exact)], "nlist int, exact boolean").write.mode("overwrite").parquet(f"{path}/about")
+        if self.exact:
+            self.items.write.mode("overwrite").parquet(f"{path}/items")
+        else:
+            self.cells.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/cells")
+            self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IvfIndex:
+        index = cls.__new__(cls)
+        index.nlist, index.exact = spark.read.parquet(f"{path}/about").first()
+        if index.exact:
+            index.items = spark.read.parquet(f"{path}/items")
+        else:
+            index.cells, index.centres = spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/centres")
+            index.items = index.cells.select("item_id", "vec")
+        return index
+
     def search(self, queries: DataFrame, k: int, nprobe: int, skip: DataFrame | None = None) -> DataFrame:
         """query_id, item_id, distance (squared), rank. Pairs of skip(query_id, item_id) are left out before the cut."""
         q = queries.select("query_id", normalised(F.col("vec")).alias("q"))

@@ -41,31 +41,35 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 class Log:
-    """An event table and what queries derive from it. whole: every session of the side, not the sample that the SQL states."""
+    """An event table and what queries derive from it. What several parts read is written once, as stored(name)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, side: str = "valid", events=user_events, whole: bool = False) -> None:
-        self.spark, self.sf_dir, self.side, self.source, self.whole = spark, sf_dir, side, events, whole
+    def __init__(self, spark: SparkSession, sf_dir: str, side: str = "valid", events=user_events) -> None:
+        self.spark, self.sf_dir, self.side, self.source, self.tables = spark, sf_dir, side, events, {}
 
     events = cached_property(lambda self: self.source(self.spark, self.sf_dir))
     meta = cached_property(lambda self: S.sessions_meta(self.events))
-    chosen = cached_property(lambda self: S.side_of(self.meta, self.side).where("n_events >= 2"))
-    sample = cached_property(lambda self: self.chosen if self.whole else S.sample_sessions(self.chosen, SAMPLE))
-    marked = cached_property(lambda self: S.with_history(self.events, self.sample))
-    hist = cached_property(lambda self: S.history(self.marked))
-    truth = cached_property(lambda self: S.ground_truth(self.marked))
+    sample = cached_property(lambda self: S.side_of(self.stored("meta"), self.side).where("n_events >= 2"))
+    marked = cached_property(lambda self: S.with_history(self.events, self.stored("sample")))
+    hist = cached_property(lambda self: S.history(self.stored("marked")))
+    truth = cached_property(lambda self: S.ground_truth(self.stored("marked")))
     pop = cached_property(lambda self: C.popularity(self.events))
-    pool = cached_property(lambda self: C.popular_pool(self.pop))
+    pool = cached_property(lambda self: C.popular_pool(self.stored("pop")))
     pairs = cached_property(lambda self: C.covis_pairs(self.events))
     neighbours = cached_property(lambda self: C.covis_neighbours(self.pairs))
-    covis = cached_property(lambda self: C.covis_scores(self.hist, self.neighbours))
+    covis = cached_property(lambda self: C.covis_scores(self.hist, self.stored("neighbours")))
+
+    def stored(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.tables[name] = materialise(getattr(self, name), name)
+        return self.tables[name]
 
     def frame(self, labelled: bool) -> DataFrame:
-        return C.feature_frame(self.marked, self.sample, self.pop, self.neighbours, labelled=labelled)
+        return C.feature_frame(self.stored("marked"), self.stored("sample"), self.stored("pop"), self.stored("neighbours"), labelled=labelled)
 
     @cached_property
     def ranked(self) -> DataFrame:
         """system, etype, session_code, item, rank of the two systems that need no model."""
-        popular = C.rank_popular(self.sample, self.pop, self.hist).select(F.lit("popularity").alias("system"), "etype", "session_code", "item", "rank")
+        popular = C.rank_popular(self.stored("sample"), self.stored("pop"), self.hist).select(F.lit("popularity").alias("system"), "etype", "session_code", "item", "rank")
         covis = C.rank_by_score(self.frame(False), "covis_score", self.hist)
         types = F.explode(F.array(*map(F.lit, TYPES)))
         return popular.unionByName(covis.select(F.lit("covisitation").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
@@ -73,8 +77,10 @@ class Log:
     @cached_property
     def metrics(self) -> DataFrame:
         systems = F.explode(F.array(*map(F.lit, SYSTEMS)))
-        truth = self.truth.where(F.col("etype").isin(*TYPES)).select(systems.alias("system"), "etype", "session_code", "item")
-        return M.session_metrics(self.ranked, truth, ["system", "etype", "session_code"])
+        return M.session_metrics(self.ranked, self.truth_of(systems), ["system", "etype", "session_code"])
+
+    def truth_of(self, systems) -> DataFrame:
+        return self.truth.where(F.col("etype").isin(*TYPES)).select(systems.alias("system"), "etype", "session_code", "item")
 
 
 def metric_columns() -> list[str]:
@@ -82,8 +88,8 @@ def metric_columns() -> list[str]:
 
 
 BASE = (Q.EV, Q.META, Q.THR)
-SIDE = (*BASE, Q.sample("valid", SAMPLE), Q.MARKED, Q.HIST)
-TRAIN = (*BASE, Q.sample("train", SAMPLE), Q.MARKED, Q.HIST, Q.POSITIVES)
+SIDE = (*BASE, Q.side("valid"), Q.MARKED, Q.HIST)
+TRAIN = (*BASE, Q.side("train"), Q.MARKED, Q.HIST, Q.POSITIVES)
 GRAPH = (Q.PAIRS, Q.NB, Q.CS)
 FULL = (*SIDE, Q.POSITIVES, Q.TRUTH, *GRAPH, Q.POP, Q.POOL, Q.CAND, Q.frame(C.FEATURES, False), Q.REC_POP, Q.REC_COVIS, Q.RANKED, Q.TRUTHS, Q.metrics())
 
@@ -142,9 +148,9 @@ def positional_split(spark, sf_dir):
     return S.temporal_split(Log(spark, sf_dir).meta.select("session_code", "min_ts"), 0.8, "min_ts", "session_code")
 
 
-@register("sample_sessions_md5", Q.query(*BASE, Q.sample("train", SAMPLE), select="SELECT * FROM smp"))
+@register("sample_sessions_md5", Q.query(*BASE, Q.side("train"), select=f"SELECT * FROM smp ORDER BY md5(session_code::VARCHAR), session_code LIMIT {SAMPLE}"))
 def sample_sessions(spark, sf_dir):
-    return Log(spark, sf_dir, "train").sample
+    return S.sample_sessions(Log(spark, sf_dir, "train").sample, SAMPLE)
 
 
 @register("history_cut", Q.query(*SIDE, select="SELECT session_code, pos, item, ts, etype, is_hist FROM mk"))
@@ -203,6 +209,15 @@ def covis_neighbours_baskets(spark, sf_dir):
     return C.covis_neighbours(_coded_pairs(spark, sf_dir))
 
 
+@register("covis_neighbours_resumed", Q.query(Q.EV, Q.PAIRS, Q.NB, select="SELECT * FROM nb"))
+def covis_neighbours_resumed(spark, sf_dir):
+    """The graph in two runs: the first writes some buckets, the second the others, and merges all."""
+    path, events = fresh_path(spark, "pair-counts"), materialise(Log(spark, sf_dir).events, "events")
+    C.write_partial_pairs(events, path, buckets=3, only=[0, 2])
+    C.write_partial_pairs(events, path, buckets=3, only=[1])
+    return C.merge_partial_pairs(spark, path, 3, f"{path}-merged", parts=2)
+
+
 @register("covis_stats", Q.query(Q.EV, Q.PAIRS, Q.NB, select="SELECT count(*) AS n_pairs, count(DISTINCT i) AS n_items, sum(weight) AS total FROM nb"))
 def covis_stats(spark, sf_dir):
     return Log(spark, sf_dir).neighbours.agg(F.count("*").alias("n_pairs"), F.countDistinct("i").alias("n_items"), F.sum("weight").alias("total"))
@@ -293,9 +308,9 @@ ARMS = "ar AS (SELECT session_code, n_events::DOUBLE AS x, CASE WHEN b < 500 THE
 AGG = "ag AS (SELECT count(y) FILTER (arm = 'control') AS n_c, sum(y) FILTER (arm = 'control') AS s_c, avg(y) FILTER (arm = 'control') AS m_c, var_samp(y) FILTER (arm = 'control') AS v_c, count(y) FILTER (arm = 'treatment') AS n_t, sum(y) FILTER (arm = 'treatment') AS s_t, avg(y) FILTER (arm = 'treatment') AS m_t, var_samp(y) FILTER (arm = 'treatment') AS v_t FROM ar)"
 
 
-def outcomes(spark, sf_dir, whole: bool = False) -> DataFrame:
-    log = Log(spark, sf_dir, whole=whole)
-    return M.session_outcomes(log.metrics, log.sample, list(SYSTEMS))
+def outcomes(spark, sf_dir) -> DataFrame:
+    log = Log(spark, sf_dir)
+    return materialise(M.session_outcomes(log.metrics, log.stored("sample"), list(SYSTEMS)), "outcomes")
 
 
 @register("session_outcomes", Q.query(*FULL, OUTCOMES, select="SELECT session_code, n_events, {} FROM oc".format(", ".join(f"hit20_{s}_{t}, round(recall20_{s}_{t}, 6) AS recall20_{s}_{t}" for s in SYSTEMS for t in TYPES))))
@@ -366,9 +381,16 @@ def ab_test_values(spark, sf_dir):
     return spark.createDataFrame([(r["test"], float(r["statistic"]), float(r["p_value"]), bool(r["reject_null"]))], "test string, statistic double, p_value double, reject_null boolean")
 
 
+@register("ab_metrics")
+def ab_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("arm", X.assign_arm(F.col("l_orderkey"), salt="lines"))
+    told = X.ab_metrics(materialise(rows.select("arm", *DRIFT), "arms"), DRIFT)
+    return spark.createDataFrame([(m, r["test"], float(r["mean_control"]), float(r["mean_treatment"]), float(r["p_value"])) for m, r in told.items()], "metric string, test string, mean_control double, mean_treatment double, p_value double")
+
+
 @register("ab_replay")
 def ab_replay(spark, sf_dir):
-    r = X.ab_replay(materialise(outcomes(spark, sf_dir, whole=True), "outcomes"), "hit20_popularity_clicks", "hit20_covisitation_clicks")
+    r = X.ab_replay(outcomes(spark, sf_dir), "hit20_popularity_clicks", "hit20_covisitation_clicks")
     return spark.createDataFrame([(r["decision"], r["effect"]["lift"], float(r["effect"]["raw_p"]), float(r["effect"]["cuped_p"]))], "decision string, lift double, raw_p double, cuped_p double")
 
 
@@ -490,10 +512,10 @@ def vec_mean_pool(spark, sf_dir):
     return rounded(E.mean_pool(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vec")), "label"), "mean")
 
 
-@register("vec_l2_to_cosine", Q.query(COS, select="SELECT query_id, item_id, round(score, 6) AS score FROM cm WHERE item_id < 20"))
+@register("vec_l2_to_cosine", Q.query(COS, select="SELECT query_id, item_id, round(score, 6) AS score FROM cm"))
 def vec_l2_to_cosine(spark, sf_dir):
     unit = lambda df: df.withColumn("vec", E.normalised(F.col("vec")))
-    met = unit(_items(spark, sf_dir).where("item_id < 20")).crossJoin(F.broadcast(unit(_query_vectors(spark, sf_dir)).withColumnRenamed("vec", "q")))
+    met = unit(_items(spark, sf_dir)).crossJoin(F.broadcast(unit(_query_vectors(spark, sf_dir)).withColumnRenamed("vec", "q")))
     squared = F.aggregate(F.zip_with("vec", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return met.select("query_id", "item_id", F.round(E.cosine_of_distance(squared), 6).alias("score"))
 
@@ -548,7 +570,7 @@ def ann_next_item_hits(spark, sf_dir):
 
 @register("dense_search")
 def dense_search(spark, sf_dir):
-    log = Log(spark, sf_dir, whole=True)
+    log = Log(spark, sf_dir)
     vectors = materialise(E.item2vec(log.events), "item2vec")
     shop = V.Recommender(log.pop, log.neighbours, index=E.IvfIndex(vectors, nlist=8))
     return shop.search(log.marked.where("is_hist = 1"), vectors, 20, nprobe=4)
@@ -562,14 +584,35 @@ def synthetic(spark, sf_dir):
 # -- ranking
 
 
+_rankers: dict[tuple[str, str], Ranker] = {}
+
+
 def _ranker(spark, sf_dir) -> Ranker:
-    return Ranker.fit(materialise(Log(spark, sf_dir, "train", whole=True).frame(True), "frame"))
+    """The ranker of a log, fitted once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _rankers:
+        _rankers[key] = Ranker.fit(materialise(Log(spark, sf_dir, "train").frame(True), "frame"))
+    return _rankers[key]
+
+
+def _two_stage(log: Log) -> DataFrame:
+    return C.rank_by_score(_ranker(log.spark, log.sf_dir).score(log.frame(False)), "score", log.hist)
 
 
 @register("two_stage_rank")
 def two_stage_rank(spark, sf_dir):
-    log = Log(spark, sf_dir, whole=True)
-    return C.rank_by_score(_ranker(spark, sf_dir).score(log.frame(False)), "score", log.hist)
+    return _two_stage(Log(spark, sf_dir))
+
+
+@register("two_stage_metrics")
+def two_stage_metrics(spark, sf_dir):
+    """system, weighted_recall_20, macro_ndcg_20 of all three systems."""
+    log = Log(spark, sf_dir)
+    types = F.explode(F.array(*map(F.lit, TYPES)))
+    ranked = log.ranked.unionByName(_two_stage(log).select(F.lit("two_stage").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
+    truth = log.truth_of(F.explode(F.array(*map(F.lit, (*SYSTEMS, "two_stage")))))
+    means = materialise(M.mean_metrics(M.session_metrics(ranked, truth, ["system", "etype", "session_code"]), ["system", "etype"]), "means")
+    return rounded(M.weighted_recall(means, by=["system"]).join(M.macro_average(means, "ndcg_20", ["system"]), "system"), "weighted_recall_20", "macro_ndcg_20")
 
 
 @register("ltr_importance")
@@ -579,14 +622,14 @@ def ltr_importance(spark, sf_dir):
 
 @register("explain_rows")
 def explain_rows(spark, sf_dir):
-    log = Log(spark, sf_dir, whole=True)
+    log = Log(spark, sf_dir)
     return _ranker(spark, sf_dir).explain(log.frame(False))
 
 
 @register("recommend_sessions")
 def recommend_sessions(spark, sf_dir):
-    log = Log(spark, sf_dir, whole=True)
-    return V.Recommender(log.pop, log.neighbours).recommend(log.marked.where("is_hist = 1").drop("is_hist"))
+    log = Log(spark, sf_dir)
+    return V.Recommender(log.stored("pop"), log.stored("neighbours"), _ranker(spark, sf_dir)).recommend(log.stored("marked").where("is_hist = 1").drop("is_hist"))
 
 
 @register("placeholder_candidates")

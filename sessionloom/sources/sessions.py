@@ -29,22 +29,21 @@ def read_sessions(spark: SparkSession, path: str, schema: str | None = None) ->
     return spark.read.schema(NESTED if kind == "events" else PARALLEL).json(path, mode="FAILFAST")
 
 
-def explode_sessions(raw: DataFrame) -> DataFrame:
-    """session, pos (from 1), item, ts, etype. Empty and null arrays give no row; a shorter ts or type array gives nulls."""
+def explode_sessions(raw: DataFrame, key: str = "session") -> DataFrame:
+    """key, pos (from 1), item, ts, etype. Empty and null arrays give no row; a shorter ts or type array gives nulls."""
     if "events" in raw.columns:
-        rows = raw.select("session", F.posexplode("events").alias("at", "ev"))
-        return rows.select("session", (F.col("at") + 1).alias("pos"), F.col("ev.aid").cast("string").alias("item"), F.col("ev.ts").alias("ts"), F.col("ev.type").alias("etype"))
-    rows = raw.select("session", "ts", "type", F.posexplode("prev_items").alias("at", "item"))
-    return rows.select("session", (F.col("at") + 1).alias("pos"), "item", F.get("ts", F.col("at")).alias("ts"), F.get("type", F.col("at")).alias("etype"))
+        rows = raw.select(key, F.posexplode("events").alias("at", "ev"))
+        return rows.select(key, (F.col("at") + 1).alias("pos"), F.col("ev.aid").cast("string").alias("item"), F.col("ev.ts").alias("ts"), F.col("ev.type").alias("etype"))
+    rows = raw.select(key, "ts", "type", F.posexplode("prev_items").alias("at", "item"))
+    return rows.select(key, (F.col("at") + 1).alias("pos"), "item", F.get("ts", F.col("at")).alias("ts"), F.get("type", F.col("at")).alias("etype"))
 
 
 def coded_events(raw: DataFrame) -> DataFrame:
-    """The event table with dense session codes in the order of (first ts, session)."""
+    """The event table with dense session codes in the order of (first ts, session). Each record is a session of its own, also where ids repeat."""
     first = F.col("events")[0]["ts"] if "events" in raw.columns else F.get("ts", F.lit(0))
     size = F.size("events") if "events" in raw.columns else F.size("prev_items")
     keyed = dense_codes(raw.where(size > 0).withColumn("_first_ts", F.coalesce(first, F.lit(0))), ["_first_ts", "session"], "session_code")
-    codes = keyed.select("session", "session_code")
-    return explode_sessions(keyed).join(codes, "session").select("session_code", "pos", "item", "ts", "etype")
+    return explode_sessions(keyed, "session_code")
 
 
 def synthetic_sessions(spark: SparkSession, sessions: int, items: int, seed: int = 7) -> DataFrame:

@@ -15,7 +15,7 @@ from sessionloom.operators import metrics as M
 from sessionloom.operators import sessions as S
 from sessionloom.operators import vectors as E
 from sessionloom.operators.lexical import BM25
-from sessionloom.operators.ranking import Ranker, expected, lambdas, ndcg, predict, tree_shap
+from sessionloom.operators.ranking import Ranker, expected, lambdas, ndcg, tree_shap, tree_values
 from sessionloom.operators.running import quantiles, running_sums
 from sessionloom.operators.serving import placeholder
 from sessionloom.sources.io import dense_codes, flat_metrics, read_tabular
@@ -190,11 +190,25 @@ def test_drift(spark):
 def test_running_sums(spark):
     r = random.Random(2)
     rows = [(k, v, r.randint(1, 5)) for k in "ab" for v in r.sample(range(10_000), 300)]
-    got = running_sums(spark.createDataFrame(rows, "k string, v long, n long"), ["k"], "v", {"n": "upto"}, buckets=7).collect()
+    got = running_sums(spark.createDataFrame(rows, "k string, v long, n long"), ["k"], "v", {"n": "upto"}).collect()
+    assert len(got) == 600
     for x in got:
         assert x.upto == sum(n for k, v, n in rows if k == x.k and v <= x.v)
 
 
+def test_running_sums_are_dealt_evenly(spark, monkeypatch):
+    """One outlier, or a heavy tail, doesn't put the other values into one range."""
+    from sessionloom.operators import running
+
+    ranges = []
+    monkeypatch.setattr(running, "materialise", lambda df, name: ranges.append(df.cache()) or ranges[-1])
+    df = spark.range(4000).selectExpr("if(id = 0, 1e15, pow(1.004, id)) AS v", "1L AS n")
+    got = running_sums(df, [], "v", {"n": "upto"}).orderBy("v").collect()
+    assert [x.upto for x in got] == list(range(1, 4001))
+    sizes = sorted(r["count"] for r in ranges[0].groupBy("_at").count().collect())
+    assert len(sizes) > 1 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_quantiles(spark):
     r = random.Random(4)
     rows = [(k, r.choice([None, r.randint(-50, 50), r.randint(0, 10_000)])) for k in "abc" for _ in range(r.choice([1, 2, 333]))] + [("one", 7)]
@@ -217,8 +231,24 @@ def test_temporal_split_with_null_times(spark):
 def test_tree_shap_adds_up():
     leaf = lambda v, n: {"value": v, "n": n}
     tree = {"feature": 0, "threshold": 0.5, "n": 10, "left": {"feature": 1, "threshold": 2, "n": 6, "left": leaf(1.0, 2), "right": {"feature": 0, "threshold": 0.1, "n": 4, "left": leaf(3.0, 1), "right": leaf(4.0, 3)}}, "right": leaf(7.0, 4)}
-    for x in ([0.0, 1], [0.3, 5], [0.9, 0], [0.05, 3]):
-        assert tree_shap(tree, x, 2).sum() == pytest.approx(predict(tree, x) - expected(tree))
+    import numpy as np
+
+    x = np.array([[0.0, 1], [0.3, 5], [0.9, 0], [0.05, 3]])
+    phi = tree_shap(tree, x, 2)
+    assert tree_values(tree, x).tolist() == [1.0, 4.0, 7.0, 3.0]
+    assert phi.sum(1) == pytest.approx(tree_values(tree, x) - expected(tree))
+
+    def known(node, row, features):
+        """The mean of the leaves that a row reaches where only some features are known."""
+        if "value" in node:
+            return node["value"]
+        if node["feature"] in features:
+            return known(node["left"] if row[node["feature"]] <= node["threshold"] else node["right"], row, features)
+        return sum(node[c]["n"] * known(node[c], row, features) for c in ("left", "right")) / node["n"]
+
+    for row, own in zip(x, phi):
+        first = (known(tree, row, {0}) - known(tree, row, set()) + known(tree, row, {0, 1}) - known(tree, row, {1})) / 2
+        assert own[0] == pytest.approx(first)
 
 
 def test_lambdas_against_pairs():
@@ -311,21 +341,76 @@ def test_windowed_popularity(spark):
     assert len(got) == 7 and all(r.total == 1 for r in got)
 
 
-def test_queries_without_sql_take_every_session(spark, monkeypatch):
+def test_repeated_session_ids_are_sessions_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "r.json")
+    rows = [{"session": 7, "events": [{"aid": 1, "ts": 5, "type": "clicks"}]}, {"session": 7, "events": [{"aid": 2, "ts": 9, "type": "carts"}]}]
+    open(path, "w").write("\n".join(map(json.dumps, rows)))
+    assert sorted(tuple(r) for r in coded_events(read_sessions(spark, path)).collect()) == [(1, 1, "1", 5, "clicks"), (2, 1, "2", 9, "carts")]
+
+
+def test_graph_in_parts(spark, tmp_path):
+    r = random.Random(1)
+    e = spark.createDataFrame([(s, p, f"i{r.randint(0, 9)}", p, "clicks") for s in range(30) for p in range(1, r.randint(2, 30))], EVENTS)
+    path, out = f"{tmp_path}/parts", f"{tmp_path}/merged"
+    C.write_partial_pairs(e, path, 3, only=[0, 1])
+    with pytest.raises(FileNotFoundError):
+        C.merge_partial_pairs(spark, path, 3, out)
+    C.write_partial_pairs(e, path, 3, only=[2])
+    C.merge_partial_pairs(spark, path, 3, out, parts=2)
+    got = C.merge_partial_pairs(spark, path, 3, out, parts=2, start=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, C.build_co_visitation(e).collect()))
+
+
+def test_saved_index(spark, tmp_path):
+    r = random.Random(2)
+    for n in (20, 200):
+        items = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(n)], "item_id long, vec array<double>")
+        index = E.IvfIndex(items, nlist=4)
+        index.save(f"{tmp_path}/{n}")
+        queries = items.where("item_id % 7 = 0").withColumnRenamed("item_id", "query_id")
+        found = lambda x: sorted((a.query_id, a.item_id, a.rank) for a in x.search(queries, 5, 2).collect())  # noqa: B023, E731
+        assert found(E.IvfIndex.load(spark, f"{tmp_path}/{n}")) == found(index)
+
+
+def test_arguments_are_checked(spark):
+    for bad in (lambda: X.assign_arm(F.lit(1), fraction=1.5), lambda: X.required_sample_size(0.1, 0.05, alpha=0.6)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(ValueError):
+        X.cuped(spark.createDataFrame([(1.0, 2.0)], "y double, x double"), "y", "x")
+    arms = [r.arm for r in spark.range(50).select(X.assign_arm(F.col("id"), 0.0, arms=("old", "new")).alias("arm")).collect()]
+    assert set(arms) == {"old"}
+
+
+def test_explain_as_served(spark):
+    from sessionloom.operators.serving import Recommender
+
+    e = spark.createDataFrame([(1, 1, "a", 1, "clicks"), (1, 2, "b", 2, "carts"), (2, 1, "a", 3, "clicks")], EVENTS)
+    split = {"feature": C.FEATURES.index("covis_score"), "threshold": 0.5, "n": 4, "gain": 1.0, "left": {"value": -1 / 3, "n": 3}, "right": {"value": 1.0, "n": 1}}
+    shop = Recommender(C.popularity(e), C.build_co_visitation(e, min_count=1), Ranker([(1.0, split)]))
+    one = shop.explain(e, spark.createDataFrame([(1, "b"), (2, "b")], "session_code long, item string")).collect()
+    assert {(r.session_code, r.item, r.base, r.score) for r in one} == {(1, "b", 0.0, -0.333333), (2, "b", 0.0, -0.333333)}
+    with pytest.raises(KeyError):
+        shop.explain(e, spark.createDataFrame([(1, "nowhere")], "session_code long, item string"))
+
+
+def test_every_query_takes_every_session(spark, monkeypatch):
     from sessionloom.plans import catalogue as Q
 
     monkeypatch.setattr(Q, "SAMPLE", 3)
+    monkeypatch.setattr(Q, "_rankers", {})
     path = "/root/testdata/sf0.01"
     sides = {side: S.side_of(Q.Log(spark, path).meta, side).where("n_events >= 2").count() for side in ("valid", "train")}
     assert min(sides.values()) > 3
-    assert Q.QUERIES["recommend_sessions"](spark, path).select("session_code").distinct().count() == sides["valid"]
     assert Q.QUERIES["dense_search"](spark, path).select("query_id").distinct().count() == sides["valid"]
-    assert Q.outcomes(spark, path, whole=True).count() == sides["valid"]
+    assert Q.outcomes(spark, path).count() == sides["valid"]
     frames = []
     monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: frames.append(frame) or cls([])))
     assert Q.QUERIES["two_stage_rank"](spark, path).select("session_code").distinct().count() == sides["valid"]
     assert frames[0].select("session_code").distinct().count() == sides["train"]
-    assert Q.Log(spark, path).sample.count() == 3  # the queries with SQL keep the sample that it states
+    assert Q.QUERIES["recommend_sessions"](spark, path).select("session_code").distinct().count() == sides["valid"]
+    assert Q.QUERIES["history_cut"](spark, path).select("session_code").distinct().count() == sides["valid"]
+    assert Q.QUERIES["sample_sessions_md5"](spark, path).count() == 3
 
 
 def test_every_candidate_is_explained(spark, monkeypatch):
@@ -334,7 +419,8 @@ def test_every_candidate_is_explained(spark, monkeypatch):
     path = "/root/testdata/sf0.001"
     leaf = {"value": 1.0, "n": 1.0}
     monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: cls([(0.1, leaf)])))
-    frame = Q.Log(spark, path, whole=True).frame(False)
+    monkeypatch.setattr(Q, "_rankers", {})
+    frame = Q.Log(spark, path).frame(False)
     assert frame.where("in_history = 0").count() > 0
     want = sorted(map(tuple, frame.select("session_code", "item").collect()))
     assert sorted((r.session_code, r.item) for r in Q.QUERIES["explain_rows"](spark, path).collect()) == want
