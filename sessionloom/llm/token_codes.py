@@ -3,11 +3,12 @@
 Ids are cut into 8-bit chunks. Level k holds the k-th chunk of every id that has one, a bitmap of the ids that go on
 to level k + 1, and a rank directory (ones before each 512-bit block). Token i is found by one rank per level.
 
-Nulls: a null text is empty; null doc_ids come first. Repeated rows are kept, ordered by doc_id and then ids. Texts of
+Nulls: a null text is empty; null doc_ids come first. Repeated rows are kept, ordered by doc_id and then text. Texts of
 any length are whole: a segment is closed after TARGET_TOKENS, and a longer document is a segment alone. Empty table: an
 empty set of files. Other columns of the input are ignored, whatever their names.
 
-Texts are encoded where they lie; the exchange into ascending order carries ids. The number of shards follows from the number of tokens.
+The exchange into ascending order carries texts, which are smaller than their ids, and the sorted rows are encoded straight into segments: no table of
+ids is written between. The number of shards follows from the number of bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, materialise, scratch
-from .encoding import drop_encoders, encoder
+from .common import arrow_map, fresh_path
+from .encoding import encoder
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -30,8 +31,6 @@ BLOCK = 512
 TARGET_TOKENS = 1 << 20
 #: A shard has about SHARD_TOKENS; a small table is spread over the session's shuffle partitions, as long as each gets MIN_SHARD_TOKENS.
 SHARD_TOKENS, MIN_SHARD_TOKENS = 1 << 26, 1 << 17
-#: Encoded bytes that leave a Python worker at once.
-BATCH_BYTES = 1 << 23
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 SEGMENTS = "shard int, segment int, shard_start long, n_tokens long, doc_ids array<long>, ends array<long>, payload binary"
@@ -97,24 +96,9 @@ class TokenCodes:
         return deeper
 
 
-def _encoded(batches, path: str, end_id: int):
-    """Arrow batches of doc_id, text -> doc_id, n, ids, in parts of bounded size."""
-    tok, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
-    for batch in batches:
-        texts, out, size, first = batch.column(1), [], 0, 0
-        for i in range(batch.num_rows):
-            out.append(tok.encode(texts[i].as_py()) + end)
-            size += len(out[-1])
-            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                counts = pa.array([len(x) // 4 for x in out], pa.int64())
-                yield pa.record_batch([batch.column(0)[first : i + 1], counts, pa.array(out, pa.binary())], names=["doc_id", "n", "ids"])
-                out, size, first = [], 0, i + 1
-    drop_encoders()
-
-
-def _segments(batches):
-    """Arrow batches of doc_id, ids in order -> segments of this task's shard."""
-    shard = TaskContext.get().partitionId()
+def _segments(batches, path: str, end_id: int):
+    """Arrow batches of doc_id, text in order -> segments of this task's shard. The encoder, which is of bounded size, stays for the worker's next task."""
+    shard, end, tok = TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes(), encoder(path)
     docs, ends, parts, size, number, start = [], [], [], 0, 0, 0
 
     def flush():
@@ -128,9 +112,9 @@ def _segments(batches):
         return pa.record_batch([pa.array(v, t) for v, t in zip(row, types)], names=list(names))
 
     for batch in batches:
-        ids, codes = batch.column(0), batch.column(1)
+        ids, texts = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
-            data = codes[i].as_py()
+            data = tok.encode(texts[i].as_py()) + end
             docs.append(ids[i].as_py())
             parts.append(data)
             size += len(data) // 4
@@ -148,14 +132,12 @@ def shards_for(tokens: int, spread: int) -> int:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> None:
     """Encodes docs(doc_id, text) and writes segment files to path, in ascending doc_id order over shards and segments."""
-    spark = docs.sparkSession
-    with scratch(spark):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        rows = materialise(arrow_map(rows, lambda b: _encoded(b, tokenizer, end_id), "doc_id long, n long, ids binary"), "token-ids")
-        tokens = rows.agg(F.sum("n")).first()[0] or 0
-        n = partitions or shards_for(tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        ordered = rows.select("doc_id", "ids").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-        arrow_map(ordered, _segments, SEGMENTS).write.option("compression", "none").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a token takes a byte or more, so the bytes bound the tokens
+    most = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    n = partitions or shards_for(most, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    arrow_map(ordered, lambda b: _segments(b, tokenizer, end_id), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
