@@ -72,27 +72,27 @@ _ALPHABET = byte_alphabet()
 class _Pieces(dict):
     """Ids of a pre-tokenized, normalised piece: they come from the library's model, which needs no further step for one."""
 
-    def __init__(self, tokenizer) -> None:
-        self.model = tokenizer.model
+    def __init__(self, tokenizer, most: int) -> None:
+        self.model, self.most = tokenizer.model, most
 
     def __missing__(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))
         ids = np.asarray([t.id for t in tokens], dtype="<u4").tobytes()
         if len(piece) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
 
 
 class WordEncoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit bytes, exactly as the library would."""
+    """encode(text) gives the ids as little-endian unsigned 32-bit bytes, exactly as the library would; it remembers `pieces` pieces at most."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pieces: int = MAX_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(self.tokenizer)
+        self.pieces = _Pieces(self.tokenizer, pieces)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
@@ -109,14 +109,14 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, pieces: int = MAX_PIECES) -> WordEncoder:
+    """One encoder per worker process, file and bound."""
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = WordEncoder(path, pieces)
+    return _encoders[path, pieces]
 
 
 def drop_encoders() -> None:

@@ -31,6 +31,8 @@ BLOCK = 512
 TARGET_TOKENS = 1 << 20
 #: A shard has about SHARD_TOKENS; a small table is spread over the session's shuffle partitions, as long as each gets MIN_SHARD_TOKENS.
 SHARD_TOKENS, MIN_SHARD_TOKENS = 1 << 26, 1 << 17
+#: Pieces that a worker remembers: about 120 MB, as nothing else large is held while segments are made.
+PIECES = 1 << 19
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 SEGMENTS = "shard int, segment int, shard_start long, n_tokens long, doc_ids array<long>, ends array<long>, payload binary"
@@ -98,7 +100,7 @@ class TokenCodes:
 
 def _segments(batches, path: str, end_id: int):
     """Arrow batches of doc_id, text in order -> segments of this task's shard. The encoder, which is of bounded size, stays for the worker's next task."""
-    shard, end, tok = TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes(), encoder(path)
+    shard, end, tok = TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes(), encoder(path, PIECES)
     docs, ends, parts, size, number, start = [], [], [], 0, 0, 0
 
     def flush():
