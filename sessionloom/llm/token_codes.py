@@ -31,7 +31,7 @@ BLOCK = 512
 TARGET_TOKENS = 1 << 20
 #: A shard has about SHARD_TOKENS; a small table is spread over the session's shuffle partitions, as long as each gets MIN_SHARD_TOKENS.
 SHARD_TOKENS, MIN_SHARD_TOKENS = 1 << 26, 1 << 17
-#: Pieces that a worker remembers: about 120 MB, as nothing else large is held while segments are made.
+#: Pieces that a worker remembers: about 200 MB at most, as nothing else large is held while segments are made.
 PIECES = 1 << 19
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
