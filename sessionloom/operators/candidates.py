@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sessions import TYPES, count_if, history, positives
+from .sessions import TYPES, count_if, graded, history
 
 DAY_MS = 86_400_000
 WINDOWS = (7, 30, 90)
@@ -111,22 +111,32 @@ def candidate_sources(sample: DataFrame, covis: DataFrame, pool: DataFrame, dens
     return parts.groupBy("session_code", "item").agg(F.min("at").alias("at")).select("session_code", "item", F.element_at(names, F.col("at")).alias("source"))
 
 
-def feature_frame(marked: DataFrame, sample: DataFrame, pop: DataFrame, neighbours: DataFrame, covis_top: int = 100, per_type: int = 30, labelled: bool = True) -> DataFrame:
-    """The ranking frame of the sessions of sample: candidates, 18 features and, for training, the graded label.
+def feature_frame(marked: DataFrame, sample: DataFrame, pop: DataFrame, neighbours: DataFrame, covis_top: int = 100, per_type: int = 30, labelled: bool = True, sources: bool = False) -> DataFrame:
+    """The ranking frame of the sessions of sample: candidates, 18 features and, for training, the graded label; with sources, which step offers the item.
 
     Session features come from the whole session, and positives outside the pool aren't added.
     """
-    hist = history(marked)
-    covis = covis_scores(hist, neighbours, covis_top)
-    cands = candidate_union(sample, covis, popular_pool(pop, per_type))
-    meta = sample.select("session_code", "n_events", "n_clicks", "n_carts", "n_orders", (F.col("max_ts") - F.col("min_ts")).alias("span_ms"))
-    rows = cands.join(meta, "session_code").join(covis, ["session_code", "item"], "left").join(pop, "item", "left").join(hist.withColumn("_in", F.lit(1)), ["session_code", "item"], "left")
-    label = []
+    # a session's history in one place: where the graph is small enough for a broadcast, its scores need no exchange of all that is reached
+    covis = covis_scores(history(marked.repartition("session_code")), neighbours, covis_top)
+    pool = sample.select("session_code").crossJoin(F.broadcast(popular_pool(pop, per_type).select("item")))
+    # what is known of a pair meets by one grouping; an item that is null equals none
+    known = F.col("item").isNotNull()
+    facts = {"_offered": "int", "covis_score": "double", "covis_max": "double", "_in": "int"} | ({"label": "int"} if labelled else {})
+
+    def part(rows: DataFrame, **values) -> DataFrame:
+        return rows.select("session_code", "item", *(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in facts.items()))
+
+    rows = part(covis, _offered=F.lit(2), covis_score=F.when(known, F.col("covis_score")), covis_max=F.when(known, F.col("covis_max"))).union(part(pool, _offered=F.lit(1)))
+    rows = rows.union(part(marked.where(known & (F.col("is_hist") == 1)), _in=F.lit(1)))
     if labelled:
-        rows = rows.join(positives(marked), ["session_code", "item"], "left")
-        label = [F.coalesce("label", F.lit(0)).alias("label")]
+        rows = rows.union(part(marked.where(known & (F.col("is_hist") == 0)), label=graded(F.col("etype"))))
+    cands = rows.groupBy("session_code", "item").agg(*(F.max(n).alias(n) for n in facts)).where("_offered IS NOT NULL")
+    meta = sample.select("session_code", "n_events", "n_clicks", "n_carts", "n_orders", (F.col("max_ts") - F.col("min_ts")).alias("span_ms"))
+    rows = cands.join(meta, "session_code").join(pop, "item", "left")
+    label = [F.coalesce("label", F.lit(0)).alias("label")] if labelled else []
+    source = [F.when(~known, "ranker").when(F.col("_offered") == 2, "covisitation").otherwise("popularity").alias("source")] if sources else []
     filled = [F.coalesce(F.col(f), F.lit(0)).alias(f) for f in FEATURES[:-1]]
-    return rows.select("session_code", "item", *label, *filled, F.when(F.col("_in").isNotNull(), 1).otherwise(0).alias("in_history"))
+    return rows.select("session_code", "item", *label, *filled, F.coalesce("_in", F.lit(0)).alias("in_history"), *source)
 
 
 def group_sizes(frame: DataFrame) -> DataFrame:

@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..sources.io import materialise
 from .candidates import FEATURES
+from .running import running_sums
 
 #: Gains of the labels 0 to 3.
 GAINS = (0, 1, 3, 7)
 #: Trees after which the candidates' scores are written again, so that a round passes over this many at most.
 RESCORE = 8
+#: Bins of a feature at most, so that a bin is a byte, and sessions whose candidates make one row of a packed table.
+BINS, CHUNK = 256, 256
+PACKED = "sizes binary, labels binary, bins binary, scores binary"
 
 
 class Ranker:
     """LambdaMART: boosted regression trees on the gradients of NDCG over a session's candidates.
 
     A row per session holds its candidates, so the gradients of a round need no exchange; a session has at most as many as
-    the candidate steps let through (two hundred or so). A tree fitted on gradient / curvature with the curvature as the
-    weight has Newton steps as its leaves.
+    the candidate steps let through (two hundred or so). Features are cut into bins once; a level of a tree is one pass that sums
+    gradients and curvatures by leaf, feature and bin. Leaves are Newton steps.
     """
 
     def __init__(self, trees: list[tuple[float, dict]]) -> None:
@@ -28,30 +32,26 @@ class Ranker:
 
     @classmethod
     def fit(cls, frame: DataFrame, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 7, valid: DataFrame | None = None, patience: int = 40, min_leaf: int = 1) -> Ranker:
-        """With valid rows, rounds end after `patience` without a better mean NDCG@20 there, and the best prefix stays."""
-        from pyspark.ml.functions import array_to_vector
-        from pyspark.ml.regression import DecisionTreeRegressor
-
-        groups = materialise(_with_scores(query_groups(frame).where(F.array_min("labels") < F.array_max("labels"))), "ltr-groups")
-        if groups.isEmpty():
+        """With valid rows, rounds end after `patience` without a better mean NDCG@20 there, and the best prefix stays. Nothing is drawn, so seed changes nothing."""
+        raw = materialise(query_groups(frame).where(F.array_min("labels") < F.array_max("labels")), "ltr-groups")
+        if raw.isEmpty():
             return cls([])  # nothing to tell apart
-        held = materialise(_with_scores(query_groups(valid)), "ltr-valid") if valid is not None else None
-        learner = DecisionTreeRegressor(featuresCol="features", labelCol="target", weightCol="curvature", maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
+        cuts = _cuts(raw)
+        groups = materialise(raw.mapInArrow(_packed(cuts), PACKED), "ltr-packed")
+        held = materialise(query_groups(valid).mapInArrow(_packed(cuts), PACKED), "ltr-valid") if valid is not None else None
         trees: list[tuple[float, dict]] = []
         best, best_at, scored = -1.0, 0, 0
         for _ in range(rounds):
             if len(trees) - scored >= RESCORE:
-                groups = materialise(_rescored(groups, trees[scored:]), "ltr-groups")
-                held = materialise(_rescored(held, trees[scored:]), "ltr-valid") if held is not None else None
+                groups = materialise(groups.mapInArrow(_rescored(trees[scored:]), PACKED), "ltr-packed")
+                held = materialise(held.mapInArrow(_rescored(trees[scored:]), PACKED), "ltr-valid") if held is not None else None
                 scored = len(trees)
-            rows = groups.mapInPandas(_steps(trees[scored:]), "x array<double>, target double, curvature double")
-            # a fit passes over its rows several times; lost blocks come again from the groups' table
-            rows = rows.select(array_to_vector("x").alias("features"), "target", "curvature").persist()
-            model = learner.fit(rows)
+            # a tree passes over its rows once a level; lost blocks come again from the groups' table
+            rows = groups.mapInArrow(_steps(trees[scored:]), "bins binary, gradient binary, curvature binary").persist()
+            trees.append((rate, _grown(rows, cuts, depth, min_leaf)))
             rows.unpersist()
-            trees.append((rate, _node(model._call_java("rootNode"))))
             if held is not None:
-                ndcg = held.mapInPandas(_quality(trees[scored:]), "ndcg double").agg(F.avg("ndcg")).first()[0] or 0.0
+                ndcg = held.mapInArrow(_quality(trees[scored:]), "ndcg double").agg(F.avg("ndcg")).first()[0] or 0.0
                 if ndcg > best:
                     best, best_at = ndcg, len(trees)
                 elif len(trees) - best_at >= patience:
@@ -90,42 +90,20 @@ class Ranker:
     def explain(self, frame: DataFrame) -> DataFrame:
         """session_code, item, base, score, contributions (a double per feature that add up to score - base)."""
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         trees, features = self.trees, FEATURES
 
-        def explained(parts):
-            for pdf in parts:
-                x = pdf[features].to_numpy(float)
-                base = sum(w * expected(t) for w, t in trees)
+        def explained(batches):
+            base = sum(w * expected(t) for w, t in trees)
+            for batch in batches:
+                x = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features]).T
                 score = sum((w * tree_values(t, x) for w, t in trees), np.zeros(len(x)))
                 phi = sum((w * tree_shap(t, x, len(features)) for w, t in trees), np.zeros(x.shape))
-                yield pd.DataFrame({"session_code": pdf["session_code"], "item": pdf["item"], "base": base, "score": score, "contributions": list(phi)})
-
-        return frame.select("session_code", "item", *FEATURES).mapInPandas(explained, "session_code long, item string, base double, score double, contributions array<double>")
-
-
-def _with_scores(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("scores", F.transform("labels", lambda _: F.lit(0.0)))
-
-
-def _rescored(groups: DataFrame, trees) -> DataFrame:
-    """groups with the values of trees added to their scores."""
+                contributions = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(features)), pa.array(np.ascontiguousarray(phi).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("session_code"), batch.column("item"), pa.array(np.full(len(x), base, float)), pa.array(score), contributions], names=["session_code", "item", "base", "score", "contributions"])
 
-    def run(parts):
-        for pdf in parts:
-            pdf["scores"] = [scores for _, _, scores in _scored(pdf, trees)]
-            yield pdf
-
-    return groups.mapInPandas(run, groups.schema)
-
-
-def _node(j) -> dict:
-    n = float(j.impurityStats().rawCount())
-    if j.subtreeDepth() == 0:
-        return {"value": j.prediction(), "n": n}
-    split = j.split()
-    return {"feature": split.featureIndex(), "threshold": split.threshold(), "gain": j.gain() * j.impurityStats().count(), "left": _node(j.leftChild()), "right": _node(j.rightChild()), "n": n}
+        return frame.select("session_code", "item", *FEATURES).mapInArrow(explained, "session_code long, item string, base double, score double, contributions array<double>")
 
 
 def query_groups(frame: DataFrame) -> DataFrame:
@@ -135,15 +113,21 @@ def query_groups(frame: DataFrame) -> DataFrame:
     return grouped.select(F.transform("c", lambda c: c["label"]).alias("labels"), F.transform("c", lambda c: c["x"]).alias("xs"))
 
 
-def tree_values(node: dict, x):
-    """The values of one tree for the rows of x."""
+def tree_values(node: dict, x, cut: str = "threshold", leaf: str = "value"):
+    """The values of one tree for the rows of x; cut "bin": for rows of bins."""
     import numpy as np
 
-    if "value" in node:
-        return np.full(len(x), node["value"])
-    left = x[:, node["feature"]] <= node["threshold"]
     out = np.empty(len(x))
-    out[left], out[~left] = tree_values(node["left"], x[left]), tree_values(node["right"], x[~left])
+
+    def walk(node: dict, rows) -> None:
+        if "value" in node:
+            out[rows] = node[leaf]
+            return
+        left = x[rows, node["feature"]] <= node[cut]
+        walk(node["left"], rows[left])
+        walk(node["right"], rows[~left])
+
+    walk(node, np.arange(len(x)))
     return out
 
 
@@ -155,18 +139,16 @@ def lambdas(gains, scores):
     rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
     discount = 1 / np.log2(rank + 2.0)
     ideal = (np.sort(gains)[::-1] / np.log2(np.arange(len(gains)) + 2.0)).sum()
-    gradient, curvature = np.zeros(len(scores)), np.zeros(len(scores))
     if ideal <= 0:
-        return gradient, curvature
-    for i in np.flatnonzero(gains > gains.min()):
-        j = np.flatnonzero(gains < gains[i])
-        swap = (gains[i] - gains[j]) * np.abs(discount[i] - discount[j]) / ideal
-        rho = 1 / (1 + np.exp(np.clip(scores[i] - scores[j], -50, 50)))
-        pull, bend = rho * swap, rho * (1 - rho) * swap
-        gradient[i] += pull.sum()
-        gradient[j] -= pull
-        curvature[i] += bend.sum()
-        curvature[j] += bend
+        return np.zeros(len(scores)), np.zeros(len(scores))
+    up = np.flatnonzero(gains > gains.min())  # a row per candidate that is above another
+    swap = np.maximum(gains[up, None] - gains, 0) * np.abs(discount[up, None] - discount) / ideal
+    rho = 1 / (1 + np.exp(np.clip(scores[up, None] - scores, -50, 50)))
+    pull = rho * swap
+    bend = pull * (1 - rho)
+    gradient, curvature = -pull.sum(0), bend.sum(0)
+    gradient[up] += pull.sum(1)
+    curvature[up] += bend.sum(1)
     return gradient, curvature
 
 
@@ -178,39 +160,174 @@ def ndcg(gains, scores, k: int = 20) -> float:
     return float((gains[np.argsort(-scores, kind="stable")][:k] * discount).sum() / ideal) if ideal > 0 else 0.0
 
 
-def _scored(pdf, trees):
+def _counted(batches):
+    """feature, value, n: how often each feature has a value among up to CHUNK sessions."""
     import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            x = batch.column("xs").slice(at, CHUNK).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            for f in range(len(FEATURES)):
+                value, n = np.unique(x[:, f][~np.isnan(x[:, f])], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), f, np.int32)), pa.array(value), pa.array(n)], names=["feature", "value", "n"])
+
+
+def _cuts(groups: DataFrame) -> list:
+    """The upper ends of each feature's bins: all values where they are fewer than BINS, else the exact ends of even shares of all candidates."""
+    import numpy as np
+
+    counts = groups.select("xs").mapInArrow(_counted, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "ltr-values")
+    sizes = {r.feature: (r.k, r.n) for r in counts.groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
+    few = [f for f, (k, _) in sizes.items() if k < BINS]
+    cuts = counts.where(F.col("feature").isin(few)).select("feature", "value")
+    if len(few) < len(sizes):
+        many = counts.where(~F.col("feature").isin(few))
+        total = F.create_map(*(F.lit(v) for f, (_, n) in sizes.items() for v in (f, n)))
+        share = F.floor((F.col("upto") - 1) * (BINS - 1) / total[F.col("feature")])
+        cuts = cuts.union(running_sums(many, ["feature"], "value", {"n": "upto"}).groupBy("feature", share.alias("share")).agg(F.max("value").alias("value")).select("feature", "value"))
+    ends: list = [[] for _ in FEATURES]
+    for r in cuts.collect():
+        ends[r.feature].append(r.value)
+    return [np.array(sorted(e)) for e in ends]
 
-    table = np.asarray(GAINS, float)
-    for labels, xs, scores in zip(pdf["labels"], pdf["xs"], pdf["scores"]):
-        x = np.stack(xs)
-        yield x, table[np.asarray(labels, int)], sum((w * tree_values(t, x) for w, t in trees), np.asarray(scores, float))
+
+def _row(**columns):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in columns.values()], names=list(columns))
+
+
+def _packed(cuts):
+    """Rows of sessions as rows of CHUNK sessions: their sizes, and their candidates' labels, bins (feature by feature) and scores of 0."""
+    import numpy as np
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                labels, xs = part.column("labels"), part.column("xs")
+                x = xs.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
+                bins = np.stack([np.searchsorted(c, x[:, f]).astype(np.uint8) for f, c in enumerate(cuts)])
+                yield _row(sizes=np.diff(labels.offsets.to_numpy()).astype(np.int32), labels=labels.flatten().to_numpy(zero_copy_only=False).astype(np.int8), bins=bins, scores=np.zeros(len(x)))
+
+    return run
+
+
+def _read(batches, **types):
+    import numpy as np
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield [np.frombuffer(batch.column(n)[r].as_buffer(), t) for n, t in types.items()]
+
+
+def _scored(batches, trees):
+    """sizes, labels, bins and scores of each row, the values of trees added to the scores."""
+    for sizes, labels, bins, scores in _read(batches, sizes="i4", labels="i1", bins="u1", scores="f8"):
+        bins = bins.reshape(len(FEATURES), -1)
+        yield sizes, labels, bins, scores + sum(w * tree_values(t, bins.T, "bin") for w, t in trees)
+
+
+def _sessions(sizes, labels, scores):
+    """gains and scores of each session."""
+    import numpy as np
+
+    gains, ends = np.asarray(GAINS, float)[labels], np.cumsum(sizes)
+    for a, b in zip(ends - sizes, ends):
+        yield gains[a:b], scores[a:b]
+
+
+def _rescored(trees):
+    def run(batches):
+        for sizes, labels, bins, scores in _scored(batches, trees):
+            yield _row(sizes=sizes, labels=labels, bins=bins, scores=scores)
+
+    return run
 
 
 def _steps(trees):
     import numpy as np
-    import pandas as pd
 
-    def run(parts):
-        for pdf in parts:
-            for x, gains, scores in _scored(pdf, trees):
-                gradient, curvature = lambdas(gains, scores)
-                use = curvature > 0
-                yield pd.DataFrame({"x": list(x[use]), "target": gradient[use] / np.maximum(curvature[use], 1e-12), "curvature": curvature[use]})
+    def run(batches):
+        for sizes, labels, bins, scores in _scored(batches, trees):
+            gradient, curvature = map(np.concatenate, zip(*(lambdas(*s) for s in _sessions(sizes, labels, scores))))
+            use = curvature > 0
+            yield _row(bins=bins[:, use], gradient=gradient[use], curvature=curvature[use])
 
     return run
 
 
 def _quality(trees):
-    import pandas as pd
+    import pyarrow as pa
+
+    def run(batches):
+        for sizes, labels, _, scores in _scored(batches, trees):
+            yield pa.RecordBatch.from_arrays([pa.array([ndcg(*s) for s in _sessions(sizes, labels, scores)], pa.float64())], names=["ndcg"])
+
+    return run
 
-    def run(parts):
-        for pdf in parts:
-            yield pd.DataFrame({"ndcg": [ndcg(gains, scores) for _, gains, scores in _scored(pdf, trees)]}, dtype="float64")
+
+def _histogram(root: dict, leaves: int):
+    """cell, n, h, g: rows, curvature and gradient of each open leaf, feature and bin, summed over a task's rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        sums = np.zeros((3, len(FEATURES), leaves * BINS))
+        for bins, gradient, curvature in _read(batches, bins="u1", gradient="f8", curvature="f8"):
+            bins = bins.reshape(len(FEATURES), -1)
+            at = tree_values(root, bins.T, "bin", "at").astype(np.int64)
+            use = np.flatnonzero(at >= 0)
+            first, h, g = at[use] * BINS, curvature[use], gradient[use]
+            for f in range(len(FEATURES)):
+                cell = first + bins[f, use]
+                for k, weight in enumerate((None, h, g)):
+                    sums[k, f] += np.bincount(cell, weight, leaves * BINS)
+        sums = sums.reshape(3, -1)
+        cell = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(s[cell]) for s in sums)], names=["cell", "n", "h", "g"])
 
     return run
 
 
+def _grown(rows: DataFrame, cuts: list, depth: int, min_leaf: int) -> dict:
+    """A tree, level by level. A split lowers the weighted squared error of gradient / curvature the most; of equal ones, the first feature and bin."""
+    import numpy as np
+
+    root = {"value": 0.0, "n": 0.0, "at": 0}
+    level = [root]
+    for _ in range(depth):
+        found = rows.mapInArrow(_histogram(root, len(level)), "cell long, n double, h double, g double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("g").alias("g")).toArrow()
+        sums = np.zeros((3, len(FEATURES) * len(level) * BINS))
+        sums[:, found["cell"].to_numpy()] = [found[c].to_numpy() for c in "nhg"]
+        sums = sums.reshape(3, len(FEATURES), len(level), BINS)
+        grown = []
+        for k, node in enumerate(level):
+            n, h, g = whole = sums[:, :, k].sum(2)[:, 0]
+            if node is root:
+                node |= {"value": float(g / h) if h > 0 else 0.0, "n": float(n)}
+            node["at"] = -1
+            left = np.cumsum(sums[:, :, k], 2)
+            right = whole[:, None, None] - left
+            may = (np.minimum(left[0], right[0]) >= max(1, min_leaf)) & (left[1] > 0) & (right[1] > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(may, left[2] ** 2 / left[1] + right[2] ** 2 / right[1] - g**2 / h, 0.0)
+            # sums of doubles differ in their last digits between runs
+            if gain.max() <= 1e-9 * (g**2 / h if h > 0 else 0.0) + 1e-12:
+                continue
+            f, b = np.unravel_index(np.argmax(gain >= gain.max() * (1 - 1e-9)), gain.shape)
+            sides = [{"value": float(s[2, f, b] / s[1, f, b]), "n": float(s[0, f, b]), "at": len(grown) + i} for i, s in enumerate((left, right))]
+            del node["value"]
+            node |= {"feature": int(f), "bin": int(b), "threshold": float(cuts[f][b]), "gain": float(gain[f, b]), "left": sides[0], "right": sides[1]}
+            grown += sides
+        if not grown:
+            break
+        level = grown
+    return root
+
+
 def expected(node: dict) -> float:
     if "value" in node:
         return node["value"]

@@ -63,6 +63,19 @@ class Log:
             self.tables[name] = materialise(getattr(self, name), name)
         return self.tables[name]
 
+    candidates = cached_property(lambda self: self.frame(False))
+
+    def kept(self) -> Log:
+        """Self, its events written too: for queries that pass over them many times."""
+        self.events = self.stored("events")
+        return self
+
+    def on(self, side: str) -> Log:
+        """The other side of the same events, with what both sides share."""
+        other = Log(self.spark, self.sf_dir, side, self.source)
+        other.events, other.tables = self.events, {n: self.stored(n) for n in ("meta", "pop", "neighbours")}
+        return other
+
     def frame(self, labelled: bool) -> DataFrame:
         return C.feature_frame(self.stored("marked"), self.stored("sample"), self.stored("pop"), self.stored("neighbours"), labelled=labelled)
 
@@ -70,7 +83,7 @@ class Log:
     def ranked(self) -> DataFrame:
         """system, etype, session_code, item, rank of the two systems that need no model."""
         popular = C.rank_popular(self.stored("sample"), self.stored("pop"), self.hist).select(F.lit("popularity").alias("system"), "etype", "session_code", "item", "rank")
-        covis = C.rank_by_score(self.frame(False), "covis_score", self.hist)
+        covis = C.rank_by_score(self.candidates, "covis_score", self.hist)
         types = F.explode(F.array(*map(F.lit, TYPES)))
         return popular.unionByName(covis.select(F.lit("covisitation").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
 
@@ -587,21 +600,22 @@ def synthetic(spark, sf_dir):
 _rankers: dict[tuple[str, str], Ranker] = {}
 
 
-def _ranker(spark, sf_dir) -> Ranker:
+def _ranker(log: Log) -> Ranker:
     """The ranker of a log, fitted once a session."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = log.spark.sparkContext.applicationId, log.sf_dir
     if key not in _rankers:
-        _rankers[key] = Ranker.fit(materialise(Log(spark, sf_dir, "train").frame(True), "frame"))
+        _rankers[key] = Ranker.fit(log.on("train").frame(True))
     return _rankers[key]
 
 
-def _two_stage(log: Log) -> DataFrame:
-    return C.rank_by_score(_ranker(log.spark, log.sf_dir).score(log.frame(False)), "score", log.hist)
+def _two_stage(log: Log, frame: DataFrame) -> DataFrame:
+    return C.rank_by_score(_ranker(log).score(frame), "score", log.hist)
 
 
 @register("two_stage_rank")
 def two_stage_rank(spark, sf_dir):
-    return _two_stage(Log(spark, sf_dir))
+    log = Log(spark, sf_dir).kept()
+    return _two_stage(log, log.candidates)
 
 
 @register("two_stage_metrics")
@@ -609,7 +623,7 @@ def two_stage_metrics(spark, sf_dir):
     """system, weighted_recall_20, macro_ndcg_20 of all three systems."""
     log = Log(spark, sf_dir)
     types = F.explode(F.array(*map(F.lit, TYPES)))
-    ranked = log.ranked.unionByName(_two_stage(log).select(F.lit("two_stage").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
+    ranked = log.ranked.unionByName(_two_stage(log, log.candidates).select(F.lit("two_stage").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
     truth = log.truth_of(F.explode(F.array(*map(F.lit, (*SYSTEMS, "two_stage")))))
     means = materialise(M.mean_metrics(M.session_metrics(ranked, truth, ["system", "etype", "session_code"]), ["system", "etype"]), "means")
     return rounded(M.weighted_recall(means, by=["system"]).join(M.macro_average(means, "ndcg_20", ["system"]), "system"), "weighted_recall_20", "macro_ndcg_20")
@@ -617,19 +631,19 @@ def two_stage_metrics(spark, sf_dir):
 
 @register("ltr_importance")
 def ltr_importance(spark, sf_dir):
-    return _ranker(spark, sf_dir).importance(spark)
+    return _ranker(Log(spark, sf_dir).kept()).importance(spark)
 
 
 @register("explain_rows")
 def explain_rows(spark, sf_dir):
-    log = Log(spark, sf_dir)
-    return _ranker(spark, sf_dir).explain(log.frame(False))
+    log = Log(spark, sf_dir).kept()
+    return _ranker(log).explain(log.candidates)
 
 
 @register("recommend_sessions")
 def recommend_sessions(spark, sf_dir):
-    log = Log(spark, sf_dir)
-    return V.Recommender(log.stored("pop"), log.stored("neighbours"), _ranker(spark, sf_dir)).recommend(log.stored("marked").where("is_hist = 1").drop("is_hist"))
+    log = Log(spark, sf_dir).kept()
+    return V.Recommender(log.stored("pop"), log.stored("neighbours"), _ranker(log)).recommend(log.stored("marked").where("is_hist = 1").drop("is_hist"))
 
 
 @register("placeholder_candidates")

@@ -426,6 +426,49 @@ def test_every_candidate_is_explained(spark, monkeypatch):
     assert sorted((r.session_code, r.item) for r in Q.QUERIES["explain_rows"](spark, path).collect()) == want
 
 
+def _ranking_frame(spark, sessions, candidates, seed):
+    r = random.Random(seed)
+    values = r.sample(range(10_000), sessions * candidates)
+    rows = [(s, f"i{i:03}", r.choice([0, 0, 1, 2, 3]), *(float(values[s * candidates + i]) if f == "covis_score" else 0.0 for f in C.FEATURES)) for s in range(sessions) for i in range(candidates)]
+    return rows, spark.createDataFrame(rows, "session_code long, item string, label int, " + ", ".join(f"{f} double" for f in C.FEATURES))
+
+
+def test_a_split_is_the_best_of_all(spark):
+    import numpy as np
+
+    from sessionloom.operators.ranking import GAINS, _cuts, query_groups
+
+    rows, frame = _ranking_frame(spark, 10, 20, 1)
+    at = 3 + C.FEATURES.index("covis_score")
+    x, g, h = [], [], []
+    for s in range(10):
+        mine = [r for r in rows if r[0] == s]
+        gradient, curvature = lambdas(np.array([float(GAINS[r[2]]) for r in mine]), np.zeros(20))
+        x, g, h = x + [r[at] for r in mine], [*g, *gradient], [*h, *curvature]
+    x, g, h = map(np.array, (x, g, h))
+    gain = lambda m: g[m].sum() ** 2 / h[m].sum() + g[~m].sum() ** 2 / h[~m].sum() - g.sum() ** 2 / h.sum()
+    best = max(x[:], key=lambda t: gain(x <= t) if t < x.max() else 0.0)
+    root = Ranker.fit(frame, rounds=1, depth=1).trees[0][1]
+    assert root["threshold"] == best and root["gain"] == pytest.approx(gain(x <= best)) and root["left"]["n"] == (x <= best).sum()
+    assert root["left"]["value"] == pytest.approx(g[x <= best].sum() / h[x <= best].sum())
+    # more values than bins: even shares
+    rows, frame = _ranking_frame(spark, 50, 20, 2)
+    ends = _cuts(query_groups(frame))[C.FEATURES.index("covis_score")]
+    sizes = np.bincount(np.searchsorted(ends, [r[at] for r in rows]))
+    assert len(ends) == 255 and 3 <= sizes.min() and sizes.max() <= 4
+
+
+def test_both_sides_share_the_graph(spark, monkeypatch):
+    from sessionloom.plans import catalogue as Q
+
+    calls, own = [], C.covis_pairs
+    monkeypatch.setattr(Q, "_rankers", {})
+    monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: cls([])))
+    monkeypatch.setattr(C, "covis_pairs", lambda events: calls.append(1) or own(events))
+    Q.QUERIES["two_stage_rank"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
