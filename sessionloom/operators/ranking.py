@@ -336,28 +336,36 @@ def expected(node: dict) -> float:
 
 def tree_shap(root: dict, x, size: int):
     """Exact path-dependent Shapley values of one tree for the rows of x: a leaf is reached by a product over its path's features of a
-    cover share (feature unknown) or a 0/1 for each row (known), so each leaf's values come from the weights of subsets of that path alone."""
+    cover share (feature unknown) or 0 or 1 for the row (known), so each leaf's values come from the weights of subsets of that path alone,
+    and only from which of its features the row agrees with: they are worked out once for each such pattern."""
     from math import factorial
 
     import numpy as np
 
-    phi = np.zeros((len(x), size))
+    phi = np.zeros((size, len(x)))
 
     def leaf(value: float, path: dict) -> None:
-        """path: feature -> (share if unknown, 1 or 0 for each row if known)."""
+        """path: feature -> (share if unknown, whether each row agrees)."""
         names, m = list(path), len(path)
+        code = np.zeros(len(x), np.int64)
+        for i, f in enumerate(names):
+            code |= path[f][1].astype(np.int64) << i
+        if 1 << m <= max(256, len(x)):
+            kinds, at = np.arange(1 << m), code
+        else:
+            kinds, at = np.unique(code, return_inverse=True)
+        ones = {f: (kinds >> i & 1).astype(float) for i, f in enumerate(names)}
         for f in names:
             # polynomials in the number of known features among the others, a row each
-            weights = np.ones((len(x), 1))
+            weights = np.ones((len(kinds), 1))
             for g in names:
                 if g != f:
-                    share, one = path[g]
-                    grown = np.zeros((len(x), weights.shape[1] + 1))
-                    grown[:, :-1] += weights * share
-                    grown[:, 1:] += weights * one[:, None]
+                    grown = np.zeros((len(kinds), weights.shape[1] + 1))
+                    grown[:, :-1] += weights * path[g][0]
+                    grown[:, 1:] += weights * ones[g][:, None]
                     weights = grown
             shapley = weights @ np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
-            phi[:, f] += value * (path[f][1] - path[f][0]) * shapley
+            phi[f] += (value * (ones[f] - path[f][0]) * shapley)[at]
 
     def walk(node: dict, path: dict) -> None:
         if "value" in node:
@@ -366,8 +374,8 @@ def tree_shap(root: dict, x, size: int):
         f = node["feature"]
         goes_left = x[:, f] <= node["threshold"]
         for child, taken in ((node["left"], goes_left), (node["right"], ~goes_left)):
-            share, one = path.get(f, (1.0, np.ones(len(x))))
-            walk(child, path | {f: (share * child["n"] / node["n"], one * taken)})
+            share, agrees = path.get(f, (1.0, True))
+            walk(child, path | {f: (share * child["n"] / node["n"], agrees & taken)})
 
     walk(root, {})
-    return phi
+    return phi.T

@@ -469,6 +469,22 @@ def test_both_sides_share_the_graph(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_explanations_by_pattern(spark):
+    """More patterns of agreement than rows, and Arrow batches without a Python row each."""
+    import numpy as np
+
+    tree = {"value": 1.0, "n": 1}
+    for f in range(9):
+        tree = {"feature": f, "threshold": 0.5, "n": tree["n"] + 2, "left": {"value": f / 3, "n": 2}, "right": tree}
+    x = np.array([[1.0] * 9, [0.0] * 9, [i % 2 for i in range(9)]])
+    assert tree_shap(tree, x, 9).sum(1) == pytest.approx(tree_values(tree, x) - expected(tree))
+    frame = spark.createDataFrame([(1, "a", *map(float, range(len(C.FEATURES))))], "session_code long, item string, " + ", ".join(f"{f} double" for f in C.FEATURES))
+    told = Ranker([(0.5, tree)]).explain(frame)
+    assert "MapInArrow" in told._jdf.queryExecution().toString()
+    row = told.first()
+    assert sum(row.contributions) == pytest.approx(row.score - row.base) and row.base == pytest.approx(0.5 * expected(tree))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
