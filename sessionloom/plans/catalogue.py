@@ -621,8 +621,10 @@ def two_stage_rank(spark, sf_dir):
 @register("two_stage_metrics")
 def two_stage_metrics(spark, sf_dir):
     """system, weighted_recall_20, macro_ndcg_20 of all three systems."""
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir).kept()
     types = F.explode(F.array(*map(F.lit, TYPES)))
+    # two systems rank the same candidates
+    log.candidates = log.stored("candidates")
     ranked = log.ranked.unionByName(_two_stage(log, log.candidates).select(F.lit("two_stage").alias("system"), types.alias("etype"), "session_code", "item", "rank"))
     truth = log.truth_of(F.explode(F.array(*map(F.lit, (*SYSTEMS, "two_stage")))))
     means = materialise(M.mean_metrics(M.session_metrics(ranked, truth, ["system", "etype", "session_code"]), ["system", "etype"]), "means")

@@ -485,6 +485,17 @@ def test_explanations_by_pattern(spark):
     assert sum(row.contributions) == pytest.approx(row.score - row.base) and row.base == pytest.approx(0.5 * expected(tree))
 
 
+def test_systems_share_the_candidates(spark, monkeypatch):
+    from sessionloom.plans import catalogue as Q
+
+    frames, own = [], C.feature_frame
+    monkeypatch.setattr(Q, "_rankers", {})
+    monkeypatch.setattr(Q.Ranker, "fit", classmethod(lambda cls, frame: cls([])))
+    monkeypatch.setattr(C, "feature_frame", lambda *a, **k: frames.append(k["labelled"]) or own(*a, **k))
+    assert Q.QUERIES["two_stage_metrics"](spark, "/root/testdata/sf0.001").count() == 3
+    assert sorted(frames) == [False, True]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
