@@ -162,10 +162,10 @@ def rank_popular(sample: DataFrame, pop: DataFrame, hist: DataFrame, k: int = 20
     return shown.select("etype", "session_code", "item", F.row_number().over(again).alias("rank"))
 
 
-def rank_by_score(frame: DataFrame, score: str, hist: DataFrame, k: int = 20, exclude: str = "after") -> DataFrame:
-    """session_code, item, rank: by score and item; history goes before or after the cut at k."""
+def rank_by_score(frame: DataFrame, score: str, hist: DataFrame, k: int = 20, exclude: str = "after", keep: list[str] | None = None) -> DataFrame:
+    """session_code, item, rank and columns to keep: by score and item; history goes before or after the cut at k."""
     rows = frame.join(hist, ["session_code", "item"], "left_anti") if exclude == "before" else frame
     best = Window.partitionBy("session_code").orderBy(F.desc(score), "item")
-    top = rows.select("session_code", "item", F.row_number().over(best).alias("place")).where(F.col("place") <= k)
+    top = rows.select("session_code", "item", *(keep or []), F.row_number().over(best).alias("place")).where(F.col("place") <= k)
     left = top if exclude == "before" else top.join(hist, ["session_code", "item"], "left_anti")
-    return left.select("session_code", "item", F.row_number().over(Window.partitionBy("session_code").orderBy("place")).alias("rank"))
+    return left.select("session_code", "item", F.row_number().over(Window.partitionBy("session_code").orderBy("place")).alias("rank"), *(keep or []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .candidates import FEATURES, candidate_sources, covis_scores, feature_frame, popular_pool, rank_by_score
+from .candidates import FEATURES, feature_frame, rank_by_score
 from .experiments import hash_bucket
 from .ranking import Ranker
 from .sessions import history, sessions_meta
@@ -20,16 +20,14 @@ class Recommender:
 
     def _frame(self, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         marked, meta = events.withColumn("is_hist", F.lit(1)), sessions_meta(events)
-        frame = feature_frame(marked, meta, self.pop, self.neighbours, labelled=False)
+        frame = feature_frame(marked, meta, self.pop, self.neighbours, labelled=False, sources=True)
         return frame, meta, history(marked)
 
     def recommend(self, events: DataFrame, k: int = 20) -> DataFrame:
         """session_code, item, rank, source: history goes before the cut."""
         frame, meta, hist = self._frame(events)
         scored = self.ranker.score(frame) if self.ranker else frame.withColumn("score", F.col("covis_score"))
-        ranked = rank_by_score(scored, "score", hist, k, exclude="before")
-        sources = candidate_sources(meta, covis_scores(hist, self.neighbours), popular_pool(self.pop))
-        return ranked.join(sources, ["session_code", "item"], "left").withColumn("source", F.coalesce("source", F.lit("ranker")))
+        return rank_by_score(scored, "score", hist, k, exclude="before", keep=["source"])
 
     def search(self, events: DataFrame, vectors: DataFrame, k: int = 20, nprobe: int = 8) -> DataFrame:
         """query_id (session), item_id, score, rank: the mean of known history vectors against the index, history skipped; unknown histories give none."""

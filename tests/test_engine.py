@@ -496,6 +496,20 @@ def test_systems_share_the_candidates(spark, monkeypatch):
     assert sorted(frames) == [False, True]
 
 
+def test_recommendations_score_the_graph_once(spark, monkeypatch):
+    from sessionloom.operators import serving as V
+
+    r = random.Random(6)
+    e = spark.createDataFrame([(s, p, r.choice([None, *"abcdefghij"]), p, "clicks") for s in range(6) for p in range(1, 9)], EVENTS)
+    pop, near, hist = C.popularity(e), C.build_co_visitation(e, min_count=1), S.history(e.withColumn("is_hist", F.lit(1)))
+    want = {(x.session_code, x.item): x.source for x in C.candidate_sources(S.sessions_meta(e), C.covis_scores(hist, near, 100), C.popular_pool(pop)).collect()}
+    calls, own = [], C.covis_scores
+    for module in (C, V):
+        monkeypatch.setattr(module, "covis_scores", lambda *a: calls.append(1) or own(*a), raising=False)
+    got = V.Recommender(pop, near).recommend(e).collect()
+    assert len(calls) == 1 and got and all(x.source == ("ranker" if x.item is None else want[x.session_code, x.item]) for x in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
